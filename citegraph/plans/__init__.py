@@ -6,7 +6,7 @@ from importlib import import_module
 
 from citegraph.plans.registry import Registry
 
-MODULES = ("queries_graph",)
+MODULES = ("queries_graph", "queries_identity")
 
 
 def all_queries() -> Registry:
