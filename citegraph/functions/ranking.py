@@ -27,13 +27,15 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return first_rows(df, keys, order, 1)
 
 
-def order_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
-    """Number *all* rows of each key from 1, in `order`, without one task per key.
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str
+) -> DataFrame:
+    """Add `name`: the sum of `value` over this and all earlier rows of the key, without one task per key.
 
     Rows are range-partitioned on (keys, order), so a hot key is spread over many
-    partitions and each holds one contiguous stretch of it. Numbers inside a
+    partitions and each holds one contiguous stretch of it. Sums inside a
     stretch come from a window on (keys, stretch). A stretch then only needs the
-    row count of its key's earlier stretches: at most one key straddles any
+    total of its key's earlier stretches: at most one key straddles any
     partition boundary, so that offset table has fewer than two rows per partition
     and its broadcast is bounded by the partition count, not by the data.
 
@@ -43,19 +45,26 @@ def order_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     from citegraph.session import cut_lineage
 
     spread = cut_lineage(
-        df.repartitionByRange(*_columns(keys), *_columns(order)).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(*_columns(keys), *_columns(order))
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_value", value.cast("long"))
     )
-    local = W.partitionBy(*keys, "_part").orderBy(*_columns(order))
-    numbered = spread.withColumn("_local", F.row_number().over(local))
-    counts = spread.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    local = W.partitionBy(*keys, "_part").orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, 0)
+    summed = spread.withColumn("_local", F.sum("_value").over(local))
+    totals = spread.groupBy(*keys, "_part").agg(F.sum("_value").alias("_total"))
     prior = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn("_offset", F.sum("_n").over(prior))
+        totals.withColumn("_offset", F.sum("_total").over(prior))
         .where(F.col("_offset").isNotNull())
-        .drop("_n")
+        .drop("_total")
     )
     return (
-        numbered.join(F.broadcast(offsets), [*keys, "_part"], "left")
-        .withColumn(name, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("int"))
-        .drop("_part", "_local", "_offset")
+        summed.join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
+        .drop("_part", "_value", "_local", "_offset")
     )
+
+
+def order_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Number *all* rows of each key from 1, in `order` (which must end in a unique column)."""
+    return running_total(df, keys, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from citegraph.functions.ranking import best_row
+from citegraph.functions.ranking import best_row, running_total
 from citegraph.session import cut_lineage
 
 ALIAS_KEY = ["scheme", "value"]
@@ -324,13 +324,12 @@ def merge_artifacts(artifacts: DataFrame, redirects: DataFrame, policy: str = "r
     if policy == "drop":
         kept = best_row(moved, ["canonical_id", "role", "version"], ["was_rank", "was_canonical_id"])
         return kept.drop("was_canonical_id", "was_rank", "_current_owner")
-    # Offsets per (node, role, former owner): how far the earlier owners' versions reach. Only
-    # owners are ranked here, one row each, not their artifacts.
+    # How far the versions of the owners before each owner reach. Owners are summed over
+    # range-split stretches: one welded node may have swallowed very many of them.
     reach = moved.groupBy("canonical_id", "role", "was_rank", "was_canonical_id").agg(F.max("version").alias("_reach"))
-    before = W.partitionBy("canonical_id", "role").orderBy("was_rank", "was_canonical_id").rowsBetween(W.unboundedPreceding, -1)
-    shifts = reach.select(
-        "canonical_id", "role", "was_canonical_id", F.coalesce(F.sum("_reach").over(before), F.lit(0)).cast("int").alias("_shift")
-    )
+    shifts = running_total(
+        reach, ["canonical_id", "role"], ["was_rank", "was_canonical_id"], F.col("_reach"), "_sum"
+    ).select("canonical_id", "role", "was_canonical_id", (F.col("_sum") - F.col("_reach")).cast("int").alias("_shift"))
     own = moved.join(shifts, ["canonical_id", "role", "was_canonical_id"])
     parent = shifts.select(
         "canonical_id", "was_canonical_id", F.col("role").alias("derived_from_role"), F.col("_shift").alias("_parent_shift")
