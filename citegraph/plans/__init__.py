@@ -6,7 +6,7 @@ from importlib import import_module
 
 from citegraph.plans.registry import Registry
 
-MODULES = ("queries_graph", "queries_identity", "queries_catalog", "queries_stores")
+MODULES = ("queries_graph", "queries_identity", "queries_catalog", "queries_stores", "queries_pages", "queries_notes")
 
 
 def all_queries() -> Registry:

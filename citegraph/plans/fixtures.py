@@ -196,15 +196,15 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sections per conversation; some run past the end, overlap, are inverted or share an id."""
     spans = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    section = lambda i, start, end: F.struct(
-        i.alias("id"), start.cast("int").alias("start_page_index"), end.cast("int").alias("end_page_index")
+    section = lambda ord, i, start, end: F.struct(
+        F.lit(ord).alias("ord"), i.alias("id"), start.cast("int").alias("start_page_index"), end.cast("int").alias("end_page_index")
     )
     n, c = F.col("n"), F.col("conv_id")
     rows = F.array(
-        section(F.lit("intro"), F.lit(1), F.lit(1)),
-        section(F.lit("body"), F.lit(2), n),
-        section(F.when(c % 3 == 0, F.lit("body")).otherwise(F.lit("notes")), n - 1, n),
-        section(F.lit("index"), n + 1, n + 1 - (c % 4)),
+        section(1, F.lit("intro"), F.lit(1), F.lit(1)),
+        section(2, F.lit("body"), F.lit(2), n),
+        section(3, F.when(c % 3 == 0, F.lit("body")).otherwise(F.lit("notes")), n - 1, n),
+        section(4, F.lit("index"), n + 1, n + 1 - (c % 4)),
     )
     return spans.select(F.col("conv_id").alias("doc"), F.explode(rows).alias("s")).select("doc", "s.*")
 

@@ -85,11 +85,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "outline": (
         (),
         """
-        SELECT conv_id AS doc, s.id AS id, CAST(s.a AS INTEGER) AS start_page_index, CAST(s.b AS INTEGER) AS end_page_index
+        SELECT conv_id AS doc, s.ord AS ord, s.id AS id, CAST(s.a AS INTEGER) AS start_page_index, CAST(s.b AS INTEGER) AS end_page_index
         FROM (SELECT conv_id, unnest([
-                {'id': 'intro', 'a': 1, 'b': 1}, {'id': 'body', 'a': 2, 'b': n},
-                {'id': CASE WHEN conv_id % 3 = 0 THEN 'body' ELSE 'notes' END, 'a': n - 1, 'b': n},
-                {'id': 'index', 'a': n + 1, 'b': n + 1 - conv_id % 4}]) AS s
+                {'ord': 1, 'id': 'intro', 'a': 1, 'b': 1}, {'ord': 2, 'id': 'body', 'a': 2, 'b': n},
+                {'ord': 3, 'id': CASE WHEN conv_id % 3 = 0 THEN 'body' ELSE 'notes' END, 'a': n - 1, 'b': n},
+                {'ord': 4, 'id': 'index', 'a': n + 1, 'b': n + 1 - conv_id % 4}]) AS s
               FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id))""",
     ),
 }

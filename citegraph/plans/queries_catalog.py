@@ -388,7 +388,7 @@ STOP_SQL = ", ".join(f"'{w}'" for w in artifacts.TITLE_STOP_WORDS)
         extra=f"""titles AS (
   SELECT item_id, regexp_split_to_array(strip_accents(text), '[[:space:]-]+') AS names,
          list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: w <> '') AS words
-  FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, regexp_replace(split_part(text, chr(10), 1), '[^\\x00-\\x7F]', '', 'g') FROM documents)),
+  FROM (SELECT item_id, replace(text, 'ß', 'ss') AS text FROM benchmark UNION ALL SELECT 1000000 + doc_id, regexp_replace(split_part(text, chr(10), 1), '[^\\x00-\\x7F]', '', 'g') FROM documents)),
 stems AS (
   SELECT 'b' || item_id AS canonical_id,
          (SELECT string_agg(upper(w[1]) || lower(w[2:]), '' ORDER BY i) FROM (SELECT regexp_replace(unnest(names[1:2]), '[^A-Za-z0-9]', '', 'g') AS w, unnest(range(2)) AS i))
