@@ -160,12 +160,9 @@ def cross_references(graph: NotesGraph) -> DataFrame:
 
 def reading_list(graph: NotesGraph, both_directions: bool = True) -> DataFrame:
     """(rank, role, doc, slug, ord, why, work_id): nodes with a `reading` property and their first catalog link."""
+    stated = lambda name: F.coalesce(F.get(F.filter("entries", lambda e: e["key"] == name), F.lit(0))["value"], F.lit(""))
     reading = graph.properties.where("key = 'reading'").select(
-        "slug", "doc", "ord", "id",
-        *[
-            F.coalesce(F.get(F.filter("entries", lambda e, k=k: e["key"] == k), F.lit(0))["value"], F.lit("")).alias(k)
-            for k in ("role", "why")
-        ],
+        "slug", "doc", "ord", "id", stated("role").alias("role"), stated("why").alias("why")
     )
     catalog = graph.links.where("kind = 'catalog'")
     place = F.struct("slug", "ord", "line")

@@ -6,7 +6,10 @@ from importlib import import_module
 
 from citegraph.plans.registry import Registry
 
-MODULES = ("queries_graph", "queries_identity", "queries_catalog", "queries_stores", "queries_pages", "queries_notes")
+MODULES = (
+    "queries_sources", "queries_identity", "queries_catalog", "queries_graph", "queries_pages", "queries_notes",
+    "queries_stores", "queries_streaming",
+)
 
 
 def all_queries() -> Registry:
