@@ -37,7 +37,7 @@ def frontmatter_value(block: Column, key: str) -> Column:
 
 
 def sections(lines: Column, fence: Column) -> Column:
-    """ARRAY<STRUCT<ord, line, heading, body>>: one entry per `## ` heading below the frontmatter."""
+    """ARRAY<STRUCT<ord, line, heading, id, title, body>>: one entry per `## ` heading below the frontmatter."""
     numbered = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
     heads = F.filter(numbered, lambda x: (x["i"] >= fence) & F.startswith(x["l"], F.lit("## ")))
 
@@ -46,6 +46,7 @@ def sections(lines: Column, fence: Column) -> Column:
             h,
             lambda x, j: F.struct(
                 j.alias("ord"), (x["i"] + 1).alias("line"), x["l"].alias("heading"),
+                heading_anchor(x["l"]).alias("id"), heading_title(x["l"]).alias("title"),
                 F.slice(lines, x["i"] + 2, F.coalesce(F.get(h, j + 1)["i"], F.size(lines)) - x["i"] - 1).alias("body"),
             ),
         )
@@ -82,6 +83,21 @@ def bullets(body: Column) -> Column:
     return let(heads, fold)
 
 
+def read_bullets(body: Column) -> Column:
+    """ARRAY<STRUCT<at, text, c, m>>: bullets with their class (`classify`) and the flow map of their raw value.
+
+    Reading happens inside the array, so that exploding it gives plain columns: a filter on them is
+    not rewritten into the patterns and evaluated again.
+    """
+    sorted_out = F.transform(bullets(body), lambda b: F.struct(b["at"].alias("at"), b["text"].alias("text"), classify(b["text"]).alias("c")))
+    return F.transform(
+        sorted_out,
+        lambda b: F.struct(
+            b["at"].alias("at"), b["text"].alias("text"), b["c"].alias("c"), flow_map(F.coalesce(b["c"]["raw"], F.lit(""))).alias("m")
+        ),
+    )
+
+
 def _unquote(text: Column) -> Column:
     quoted = F.rlike(text, F.lit(r"""(?s)\A(?:'.*'|".*")\z""")) & (F.length(text) >= 2)
     return F.when(quoted, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)

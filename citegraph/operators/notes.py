@@ -49,18 +49,20 @@ def node_rows(files: DataFrame) -> DataFrame:
     shift = F.when(F.col("fence") == 2, 2).otherwise(0)
     cut = docs.select("slug", "doc", shift.alias("shift"), F.explode(g.sections(F.col("lines"), F.col("fence"))).alias("s"))
     return cut.select(
-        "slug", "doc", "s.ord", g.heading_anchor(F.col("s.heading")).alias("id"), g.heading_title(F.col("s.heading")).alias("title"),
-        (F.col("s.line") - F.col("shift")).alias("heading_line"), F.col("s.body").alias("body"),
+        "slug", "doc", "s.ord", "s.id", "s.title", (F.col("s.line") - F.col("shift")).alias("heading_line"), F.col("s.body").alias("body")
     )
 
 
 def bullet_rows(nodes: DataFrame) -> DataFrame:
-    """(slug, doc, ord, id, line, text, form, source, kind, target, key, raw): one row per bullet. Row-local."""
-    items = nodes.select("slug", "doc", "ord", "id", "heading_line", F.explode(g.bullets(F.col("body"))).alias("b"))
-    lined = items.select(
-        "slug", "doc", "ord", "id", (F.col("heading_line") + F.col("b.at")).alias("line"), F.col("b.text").alias("text")
+    """(slug, doc, ord, id, line, text, form, source, kind, target, key, raw, m): one row per bullet. Row-local."""
+    items = nodes.select("slug", "doc", "ord", "id", "heading_line", F.explode(g.read_bullets(F.col("body"))).alias("b"))
+    return _bullet_columns(items)
+
+
+def _bullet_columns(items: DataFrame) -> DataFrame:
+    return items.select(
+        "slug", "doc", "ord", "id", (F.col("heading_line") + F.col("b.at")).alias("line"), F.col("b.text").alias("text"), "b.c.*", F.col("b.m").alias("m")
     )
-    return lined.withColumn("c", g.classify(F.col("text"))).select("slug", "doc", "ord", "id", "line", "text", "c.*")
 
 
 @dataclass
@@ -76,12 +78,28 @@ class NotesGraph:
     warnings: DataFrame
 
 
+def parse_notes(files: DataFrame) -> DataFrame:
+    """(slug, doc, has_frontmatter, block, sections): each note read once, its bullets nested in its sections. Row-local."""
+    docs = documents(files)
+    shift = F.when(F.col("fence") == 2, 2).otherwise(0)
+    read = lambda s: F.struct(
+        s["ord"].alias("ord"), s["id"].alias("id"), s["title"].alias("title"), (s["line"] - shift).alias("heading_line"),
+        g.read_bullets(s["body"]).alias("bullets"),
+    )
+    return docs.select(
+        "slug", "doc", "has_frontmatter", "block", F.transform(g.sections(F.col("lines"), F.col("fence")), read).alias("sections")
+    )
+
+
 def lift_notes(files: DataFrame) -> NotesGraph:
-    """All tables of the notes graph. Each is a narrow projection of the files but `properties`,
-    where the last of equal keys must win."""
-    docs = documents(files).select("slug", "doc", "has_frontmatter", "block")
-    nodes = node_rows(files)
-    bullets = bullet_rows(nodes).withColumn("m", g.flow_map(F.coalesce("raw", F.lit(""))))
+    """All tables of the notes graph. The texts are read once and the parse is checkpointed; the tables are
+    projections of it, but for `properties`, where the last of equal keys must win."""
+    parsed = cut_lineage(parse_notes(files))
+    docs = parsed.select("slug", "doc", "has_frontmatter", "block")
+    nodes = parsed.select("slug", "doc", F.explode("sections").alias("s")).select(
+        "slug", "doc", "s.ord", "s.id", "s.title", "s.heading_line", "s.bullets"
+    )
+    bullets = _bullet_columns(nodes.select("slug", "doc", "ord", "id", "heading_line", F.explode("bullets").alias("b")))
     at = ["slug", "doc", "ord", "id", "line"]
 
     tags = bullets.where("form = 'tags'").select(
@@ -110,7 +128,7 @@ def lift_notes(files: DataFrame) -> NotesGraph:
         .unionByName(warn(bullets.where("m.malformed AND form IN ('explicit', 'implicit', 'property')"), F.col("line"), MALFORMED_MAP))
         .unionByName(warn(bullets.where("form = 'broken_link'"), F.col("line"), NEITHER_FORM))
     )
-    return NotesGraph(docs, nodes.drop("body"), labels, own.unionByName(titles), links, warnings)
+    return NotesGraph(docs, nodes.drop("bullets"), labels, own.unionByName(titles), links, warnings)
 
 
 # ── indexes ──────────────────────────────────────────────────────────────────
