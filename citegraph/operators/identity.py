@@ -43,11 +43,17 @@ def normalize_dois(aliases: DataFrame) -> DataFrame:
 # ── connected components ─────────────────────────────────────────────────────
 
 
-def _fingerprint(pairs: DataFrame) -> tuple[int, int]:
-    row = pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], int(row["h"] or 0)
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every vertex is either a root or linked to exactly one root: contraction is done.
+
+    Counts per vertex are combined on the map side, so a hub costs no more than any vertex.
+    """
+    one, zero = F.lit(1).alias("up"), F.lit(0).alias("up")
+    ends = pairs.select(F.col("u").alias("x"), one, F.lit(0).alias("down")).unionByName(
+        pairs.select(F.col("v").alias("x"), zero, F.lit(1).alias("down"))
+    )
+    open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)")
+    return open_.isEmpty()
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -77,17 +83,12 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    seen = _fingerprint(state)
-    for _ in range(MAX_ROUNDS):
-        if seen[0] == 0:
-            break
+    rounds = 0
+    while not _is_star_forest(state):
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
         state = cut_lineage(_small_star(_large_star(state)))
-        now = _fingerprint(state)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = state.select(F.col("v").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root"))
     return state.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)
 
@@ -119,7 +120,10 @@ def resolve_identity(
     in the batch are read: a known node's other aliases cannot join anything new.
     `record_kinds`: (record_id, seq, kind); a new node takes the kind of its first record.
     """
-    bundle = record_aliases.select("record_id", "scheme", "value").where(F.col("scheme").isNotNull())
+    # Read many times below: written once, so that whatever derives the aliases (digests of
+    # whole texts, say) is not computed again each time.
+    record_aliases = cut_lineage(record_aliases.select("record_id", "scheme", "value"))
+    bundle = record_aliases.where(F.col("scheme").isNotNull())
     vertex = F.concat(F.lit("r:"), F.col("record_id"))
     holders = bundle.select(*ALIAS_KEY, vertex.alias("u"))
     if known_aliases is not None:

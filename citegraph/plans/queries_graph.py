@@ -8,6 +8,7 @@ from citegraph.operators import graph
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
+from citegraph.session import cut_lineage
 
 REG = Registry()
 
@@ -37,7 +38,8 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str, **kw) -> graph.Neighborhood:
-    edges = graph.distinct_edges(fx.edge_in(spark, sf_dir))
+    # The catalog stores its edges; here they are derived, so they are written once for the walk.
+    edges = cut_lineage(graph.distinct_edges(fx.edge_in(spark, sf_dir)))
     return graph.neighborhood(edges, _seeds(spark, sf_dir), depth=2, **kw)
 
 
@@ -108,7 +110,7 @@ def neighborhood_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey, "left_semi").select(
         F.concat(F.lit("s"), F.col("s_suppkey")).alias("canonical_id")
     )
-    edges = graph.distinct_edges(fx.edge_in(spark, sf_dir))
+    edges = cut_lineage(graph.distinct_edges(fx.edge_in(spark, sf_dir)))
     return graph.neighborhood(edges, seeds, "backward", 2, None).nodes.select("canonical_id", "depth")
 
 
