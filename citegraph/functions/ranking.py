@@ -68,3 +68,14 @@ def running_total(
 def order_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Number *all* rows of each key from 1, in `order` (which must end in a unique column)."""
     return running_total(df, keys, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
+
+
+#: Up to this many rows a global top-k may meet in one task; beyond, it is ranked in stretches.
+SMALL_LIMIT = 10_000
+
+
+def smallest_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first `n` rows of the whole table in `order` (which must end in a unique column)."""
+    if n <= SMALL_LIMIT:
+        return df.orderBy(*_columns(order)).limit(n)
+    return order_rows(df, [], order, "_nth").where(F.col("_nth") <= n).drop("_nth")

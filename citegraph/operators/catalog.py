@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citegraph.functions.ranking import best_row
+from citegraph.functions.ranking import best_row, smallest_rows
 
 # Filter keys answered by columns of a local works table.
 WORK_FILTER_KEYS = ("title", "publication_year", "type", "language", "cited_by_count", "doi", "is_oa", "concepts.id")
@@ -171,7 +171,7 @@ def search_works(
         held = artifacts.where(F.col("is_current") & (F.col("role") == with_artifact)).select("canonical_id")
         works = works.join(held, "canonical_id", "left_semi")
     if limit is not None:
-        works = works.orderBy("canonical_id").limit(limit)
+        works = smallest_rows(works, ["canonical_id"], limit)
     return works
 
 

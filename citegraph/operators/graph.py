@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citegraph.functions.ranking import best_row, first_rows
-from citegraph.session import BROADCAST_ROWS, cut_lineage
+from citegraph.functions.ranking import best_row, first_rows, smallest_rows
+from citegraph.session import broadcast_if_small, cut_lineage, measure
 
 EDGE_KEY = ["src_id", "dst_id", "relation"]
 
@@ -106,11 +106,6 @@ class Neighborhood:
     truncated: bool
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a side whose rows were counted; above the bound Spark shuffles it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def neighborhood(
     edges: DataFrame,
     seeds: DataFrame,
@@ -128,34 +123,38 @@ def neighborhood(
     near, far = _ends(direction)
     steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far"))
     truncated = False
-    visited = seeds.select("canonical_id").distinct()
-    if max_nodes is not None:
-        total = visited.count()
-        if total > max_nodes:
-            visited, truncated = visited.orderBy("canonical_id").limit(max_nodes), True
-    visited = cut_lineage(visited.withColumn("depth", F.lit(0)))
-    total = fresh = visited.count()
+    visited = cut_lineage(seeds.select("canonical_id").distinct().withColumn("depth", F.lit(0)))
+    total, size = measure(visited, "canonical_id")
+    if max_nodes is not None and total > max_nodes:
+        visited, truncated = cut_lineage(smallest_rows(visited, ["canonical_id"], max_nodes)), True
+        total, size = measure(visited, "canonical_id")
+    fresh, fresh_size = total, size
     for hop in range(depth):
         if fresh == 0:
             break
         frontier = visited.where(F.col("depth") == hop).select(F.col("canonical_id").alias("near"))
-        reached = steps.join(_small(frontier, fresh), "near", "left_semi").select(F.col("far").alias("canonical_id")).distinct()
-        new = reached.join(_small(visited.select("canonical_id"), total), "canonical_id", "left_anti")
+        reached = steps.join(broadcast_if_small(frontier, fresh_size), "near", "left_semi")
+        new = reached.select(F.col("far").alias("canonical_id")).distinct().join(
+            broadcast_if_small(visited.select("canonical_id"), size), "canonical_id", "left_anti"
+        )
         new = cut_lineage(new)
-        fresh = new.count()
+        fresh, fresh_size = measure(new, "canonical_id")
         if max_nodes is not None and total + fresh > max_nodes:
             room, truncated = max_nodes - total, True
-            new = new.orderBy("canonical_id").limit(room)
-            fresh = room
-        total += fresh
+            new = cut_lineage(smallest_rows(new, ["canonical_id"], room))
+            fresh, fresh_size = measure(new, "canonical_id")
+        total, size = total + fresh, size + fresh_size
         visited = visited.unionByName(new.withColumn("depth", F.lit(hop + 1)))
-        if fresh and (hop + 1 < depth or truncated):
-            visited = cut_lineage(visited)
 
     expanded = visited.where(F.col("depth") < depth).select(F.col("canonical_id").alias(near))
     inside = visited.select(F.col("canonical_id").alias(far))
-    closed = edges.select(*EDGE_KEY).join(_small(expanded, total), near, "left_semi").join(_small(inside, total), far, "left_semi")
-    return Neighborhood(nodes=rank_by_in_degree(visited, closed), edges=closed.select(*EDGE_KEY), truncated=truncated)
+    closed = (
+        edges.select(*EDGE_KEY)
+        .join(broadcast_if_small(expanded, size), near, "left_semi")
+        .join(broadcast_if_small(inside, size), far, "left_semi")
+        .select(*EDGE_KEY)
+    )
+    return Neighborhood(nodes=rank_by_in_degree(visited, closed), edges=closed, truncated=truncated)
 
 
 def rank_by_in_degree(nodes: DataFrame, closed_edges: DataFrame) -> DataFrame:

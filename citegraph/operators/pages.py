@@ -13,7 +13,7 @@ from citegraph.functions.folios import candidates, folio_kind, render_folio
 from citegraph.functions.intervals import overlap_join
 from citegraph.functions.ranking import order_rows
 from citegraph.functions.scans import carry_last, previous_row, running_sum
-from citegraph.session import BROADCAST_ROWS
+from citegraph.session import broadcast_if_small, measure
 
 
 # ── pages ────────────────────────────────────────────────────────────────────
@@ -257,32 +257,36 @@ def locate_artifact_pages(requests: DataFrame, page_counts: DataFrame) -> DataFr
 
 
 def locate_sections(requests: DataFrame, sections: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """(request_id, doc, status, found, missing): page numbers of a section, or of its first `head` / last `tail`.
+    """(request_id, doc, status, first_page, last_page, missing_from, missing_to): the pages of a section, or of its
+    first `head` / last `tail`.
 
-    The first section of that id counts. Pages past the end of the document are `missing`.
+    The first section of that id counts. Pages past the end of the document are missing; both stretches
+    are ranges, so a long section is still one row.
     """
     first = sections.groupBy("doc", "id").agg(F.min_by(F.struct("start_page_index", "end_page_index"), "ord").alias("s"))
     joined = requests.join(first, ["doc", "id"], "left").join(page_counts, "doc", "left")
     start, end = F.col("s.start_page_index"), F.col("s.end_page_index")
     lo = F.when(F.col("head").isNull() & F.col("tail").isNotNull(), F.greatest(start, end - F.col("tail") + 1)).otherwise(start)
     hi = F.when(F.col("head").isNotNull(), F.least(end, start + F.col("head") - 1)).otherwise(end)
-    span = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    ranged = joined.withColumn("_span", F.when(F.col("s").isNotNull(), span))
-    found = F.filter("_span", lambda p: p <= F.col("page_count"))
-    missing = F.filter("_span", lambda p: p > F.col("page_count"))
-    status = F.when(F.col("_span").isNull(), "section_not_found").when(F.size(missing) > 0, "partial").otherwise("found")
-    return ranged.select("request_id", "doc", status.alias("status"), found.alias("found"), missing.alias("missing"))
+    known, count = F.col("s").isNotNull(), F.col("page_count")
+    some = known & (lo <= hi)
+    found, missing = some & (lo <= count), some & (hi > count)
+    status = F.when(~known, "section_not_found").when(missing, "partial").otherwise("found")
+    return joined.select(
+        "request_id", "doc", status.alias("status"),
+        F.when(found, lo).alias("first_page"), F.when(found, F.least(hi, count)).alias("last_page"),
+        F.when(missing, F.greatest(lo, count + 1)).alias("missing_from"), F.when(missing, hi).alias("missing_to"),
+    )
 
 
 def locate_quotes(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """(request_id, doc, page_index) for every page that contains a requested `needle`, case kept.
 
-    The request table is counted: small ones are broadcast and pages stay where they are;
+    The request table is measured: small ones are broadcast and pages stay where they are;
     larger ones meet their document's pages in a shuffle join, where skew is split.
     """
-    small = requests.count() <= BROADCAST_ROWS
-    asked = F.broadcast(requests) if small else requests
-    hits = pages.select("doc", "page_index", "text").join(asked, "doc").where(F.contains("text", "needle"))
+    _, size = measure(requests, "needle")
+    hits = pages.select("doc", "page_index", "text").join(broadcast_if_small(requests, size), "doc").where(F.contains("text", "needle"))
     return hits.select("request_id", "doc", "page_index")
 
 

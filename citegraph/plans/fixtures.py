@@ -209,11 +209,20 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("conv_id").alias("doc"), F.explode(rows).alias("s")).select("doc", "s.*")
 
 
+TURNS_PER_NOTE = 200
+LEFT_OUT_LENGTHS = (100, 150)
+
+
+def _note_slug() -> Column:
+    part = F.when(F.col("part") > 0, F.concat(F.lit("."), F.col("part").cast("string"))).otherwise("")
+    return F.concat(F.lit("note-"), F.col("home").cast("string"), part)
+
+
 def note_files(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
-    """(slug, text): one Markdown note per conversation, one heading per turn.
+    """(slug, text): Markdown notes with one heading per turn, `TURNS_PER_NOTE` turns of a conversation each.
 
-    Side `b` is the same collection edited: some turns rewritten, some without their anchor's
-    body line, some left out, some moved to another note, some notes with a changed header.
+    Side `b` is the same collection edited: some turns rewritten or added to, short ones left out,
+    some moved to another note, and all headers changed.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     c, t = F.col("conv_id"), F.col("turn")
@@ -245,18 +254,20 @@ def note_files(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
     home = c
     kept = turns
     if side == "b":
-        kept = turns.where((c + t) % 8 != 3)
+        kept = turns.where(~F.length("text").between(*LEFT_OUT_LENGTHS))
         home = F.when((c + t) % 8 == 4, c + 1).otherwise(c)
     meta = F.concat(
-        F.lit("---\ndoc: note-"), F.col("home").cast("string"),
+        F.lit("---\ndoc: "), _note_slug(),
         F.lit("\nschema: " + ("research" if side == "a" else "revised")),
         F.when(F.col("home") % 6 == 5, F.lit("\ndomain: old")).otherwise(F.lit("")),
         F.lit("\n---\n\n# Note "), F.col("home").cast("string"), F.lit("\n\n"),
     )
-    # A note is one file, so its turns are gathered into one cell as the file would hold them.
-    gathered = kept.select(home.alias("home"), "conv_id", "turn", body.alias("body")).groupBy("home").agg(
+    # A note is one file, so its turns are gathered into one cell as the file would hold them; a long
+    # conversation is split over several notes, so no cell grows with it.
+    part = F.floor(t / TURNS_PER_NOTE)
+    gathered = kept.select(home.alias("home"), part.alias("part"), "conv_id", "turn", body.alias("body")).groupBy("home", "part").agg(
         F.array_sort(F.collect_list(F.struct("conv_id", "turn", "body"))).alias("parts")
     )
     joined = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")
     head = F.when(F.col("home") % 10 == 9, F.lit("# No header\n\n")).otherwise(meta)
-    return gathered.select(F.concat(F.lit("note-"), F.col("home").cast("string")).alias("slug"), F.concat(head, joined).alias("text"))
+    return gathered.select(_note_slug().alias("slug"), F.concat(head, joined).alias("text"))

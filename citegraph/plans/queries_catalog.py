@@ -94,17 +94,16 @@ HELD_SQL = """held AS (
 @REG.query(
     "C2_work_view",
     with_views(
-        "aliases",
+        "aliases nodes",
         """SELECT canonical_id, 'work' AS kind, 'field' AS part, key, value, source, fetched_at FROM claims
-           UNION ALL SELECT canonical_id, 'work', 'alias', scheme, value, NULL, NULL FROM aliases WHERE canonical_id LIKE 'p%'
+           UNION ALL SELECT canonical_id, n.kind, 'alias', scheme, value, NULL, NULL FROM aliases JOIN nodes n USING (canonical_id) WHERE n.merged_into IS NULL
            UNION ALL SELECT canonical_id, 'work', 'artifact', role, '1', NULL, NULL FROM held""",
         extra=WORK_SQL + "," + HELD_SQL,
     ),
 )
 def work_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = fx.nodes(spark, sf_dir).where("canonical_id LIKE 'p%'")
     return catalog.work_views(
-        works, fx.work_assertions(spark, sf_dir), fx.aliases(spark, sf_dir), _held_artifacts(spark, sf_dir)
+        fx.nodes(spark, sf_dir), fx.work_assertions(spark, sf_dir), fx.aliases(spark, sf_dir), _held_artifacts(spark, sf_dir)
     )
 
 

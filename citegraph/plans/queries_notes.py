@@ -19,11 +19,12 @@ def _files_sql(side: str) -> str:
     added = "|| CASE WHEN (c + t) % 8 = 1 THEN chr(10) || '- added: on b' ELSE '' END" if b else ""
     tags = "CASE WHEN (c + t) % 8 = 2 THEN '- tags: #edited' ELSE '- tags: #' || role || ' #turn' END" if b else "'- tags: #' || role || ' #turn'"
     home = "CASE WHEN (c + t) % 8 = 4 THEN c + 1 ELSE c END" if b else "c"
-    where = "WHERE (c + t) % 8 <> 3" if b else ""
+    where = "WHERE NOT length(text) BETWEEN {} AND {}".format(*fx.LEFT_OUT_LENGTHS) if b else ""
+    slug = "'note-' || home || CASE WHEN part > 0 THEN '.' || part ELSE '' END"
     schema = "revised" if b else "research"
     return f"""
 turns_{side} AS (
-  SELECT c, t, {home} AS home,
+  SELECT c, t, {home} AS home, t // {fx.TURNS_PER_NOTE} AS part,
     '## ' || regexp_replace(split_part(text, chr(10), 1), '[\\^\\[\\]]', '', 'g')
       || CASE WHEN (c + t) % 11 = 3 THEN '' WHEN (c + t) % 13 = 5 THEN ' ^t-' || c || '-' || t ELSE ' ^r-' || c || 'x' || t END
     || chr(10) || {tags}
@@ -36,13 +37,13 @@ turns_{side} AS (
     || chr(10) AS body
   FROM (SELECT conv_id AS c, turn AS t, role, text FROM conversations) {where}),
 files_{side} AS (
-  SELECT 'note-' || home AS slug,
+  SELECT {slug} AS slug,
     CASE WHEN home % 10 = 9 THEN '# No header' || chr(10) || chr(10)
-         ELSE '---' || chr(10) || 'doc: note-' || home || chr(10) || 'schema: {schema}'
+         ELSE '---' || chr(10) || 'doc: ' || {slug} || chr(10) || 'schema: {schema}'
               || CASE WHEN home % 6 = 5 THEN chr(10) || 'domain: old' ELSE '' END
               || chr(10) || '---' || chr(10) || chr(10) || '# Note ' || home || chr(10) || chr(10) END
     || string_agg(body, chr(10) ORDER BY c, t) AS text
-  FROM turns_{side} GROUP BY home)"""
+  FROM turns_{side} GROUP BY home, part)"""
 
 
 def _parse_sql(side: str) -> str:

@@ -342,8 +342,10 @@ def read_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         "page_table outline",
         """SELECT request_id, doc, CASE WHEN s IS NULL THEN 'section_not_found' WHEN len(list_filter(span, lambda p: p > page_count)) > 0 THEN 'partial' ELSE 'found' END AS status,
-                  coalesce(array_to_string(list_filter(span, lambda p: p <= page_count), ','), 'none') AS found,
-                  coalesce(array_to_string(list_filter(span, lambda p: p > page_count), ','), 'none') AS missing
+                  CAST(list_min(list_filter(span, lambda p: p <= page_count)) AS INTEGER) AS first_page,
+                  CAST(list_max(list_filter(span, lambda p: p <= page_count)) AS INTEGER) AS last_page,
+                  CAST(list_min(list_filter(span, lambda p: p > page_count)) AS INTEGER) AS missing_from,
+                  CAST(list_max(list_filter(span, lambda p: p > page_count)) AS INTEGER) AS missing_to
            FROM (SELECT *, CASE WHEN s IS NOT NULL THEN CASE WHEN head IS NOT NULL THEN range(s, least(e, s + head - 1) + 1)
                         WHEN tail IS NOT NULL THEN range(greatest(s, e - tail + 1), e + 1) ELSE range(s, e + 1) END END AS span
                  FROM (SELECT r.*, f.s, f.e, c.page_count FROM requests r LEFT JOIN firsts f ON f.doc = r.doc AND f.id = r.id LEFT JOIN counts c ON c.doc = r.doc))""",
@@ -363,9 +365,7 @@ def locate_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = counts.select("doc", F.explode(F.array(*[ask(k, *kind) for k, kind in enumerate(kinds)])).alias("r")).select(
         (F.col("doc") * 10 + F.col("r.k")).alias("request_id"), "doc", "r.id", "r.head", "r.tail"
     )
-    located = pages.locate_sections(requests, fx.outline(spark, sf_dir), counts)
-    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("none")).alias(c)
-    return located.select("request_id", "doc", "status", listed("found"), listed("missing"))
+    return pages.locate_sections(requests, fx.outline(spark, sf_dir), counts)
 
 
 @REG.query(

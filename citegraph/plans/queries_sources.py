@@ -56,6 +56,10 @@ def _openalex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.unionByName(authors).unionByName(venues).unionByName(topics).unionByName(places)
 
 
+def _of_entity(lines: DataFrame, entity: str) -> DataFrame:
+    return lines.where(id_columns.openalex_entity(F.get_json_object("value", "$.id"))["entity"] == entity)
+
+
 @REG.query(
     "A1_read_openalex",
     """SELECT 'record' AS what, 'work' AS name, count(*) AS count FROM part UNION ALL SELECT 'record', 'author', count(*) FROM supplier
@@ -93,7 +97,7 @@ def openalex_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def openalex_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out of referenced works, and in from the results of cited-by requests."""
     lines = _openalex_lines(spark, sf_dir)
-    works = lines.where(F.contains("value", F.lit("openalex.org/W")))
+    works = _of_entity(lines, "works")
     answers = works.select("value", F.get_json_object("value", "$.referenced_works[0]").alias("cited"))
     incoming = openalex.cites_edges(openalex.citing_pairs(answers), NOW)
     edges = openalex.parse(lines, NOW).edges.unionByName(incoming)
@@ -332,7 +336,7 @@ def infer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
               '{"id":"i","country_code":"XX"}' AS institution, CAST(NULL AS VARCHAR) AS extra FROM part""",
 )
 def curated_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = _openalex_lines(spark, sf_dir).where(F.contains("value", F.lit("openalex.org/W")))
+    works = _of_entity(_openalex_lines(spark, sf_dir), "works")
     at = lambda path: F.get_json_object("value", path)
     return openalex.curate(works, "works").select(
         at("$.id").alias("id"), F.contains("value", F.lit("secret")).alias("has_secret"), F.contains("value", F.lit("referenced_works")).alias("has_refs"),
@@ -389,5 +393,5 @@ def open_access_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
               CAST(p_size AS BIGINT) AS cited_by_count FROM part""",
 )
 def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = _openalex_lines(spark, sf_dir).where(F.contains("value", F.lit("openalex.org/W")))
+    works = _of_entity(_openalex_lines(spark, sf_dir), "works")
     return openalex.summarize(works).withColumn("authors", F.array_join("authors", "; "))

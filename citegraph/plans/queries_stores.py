@@ -208,8 +208,8 @@ def _doc_store(spark: SparkSession, sf_dir: str) -> store_sync.Store:
         "canonical_id", F.col("lang").alias("role"), F.lit(1).alias("version"), F.lit(True).alias("is_current"),
         F.concat_ws("/", "canonical_id", "lang", F.lit("v1")).alias("key"),
     )
-    nodes = fx.nodes(spark, sf_dir).where("canonical_id LIKE 'd%'")
-    named = fx.aliases(spark, sf_dir).where("scheme = 'doc'")
+    nodes = fx.document_redirects(spark, sf_dir).withColumn("kind", F.lit("work"))
+    named = docs.select(F.lit("doc").alias("scheme"), F.col("doc_id").cast("string").alias("value"), "canonical_id")
     claims = docs.select("canonical_id", F.col("lang").alias("source"), F.lit("{}").alias("attrs"))
     return store_sync.Store(nodes, named, claims, edges, held)
 

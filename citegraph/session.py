@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A broadcast side must have been counted and found at or below this many rows.
-BROADCAST_ROWS = 500_000
+#: A broadcast side must have been measured and found at or below this many bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_OVERHEAD = 64
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # One store may emit any share of the changes: merge its sessions per task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -57,3 +60,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables, under the shared folder that checkpoints use."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def measure(df: DataFrame, *text_columns: str) -> tuple[int, int]:
+    """(rows, bytes) of a narrow table whose size lies in `text_columns`; one aggregation."""
+    size = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text_columns), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return row["n"], row["b"] + row["n"] * _ROW_OVERHEAD
+
+
+def broadcast_if_small(df: DataFrame, measured_bytes: int) -> DataFrame:
+    """A broadcast hint for a side within the bound; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if measured_bytes <= BROADCAST_BYTES else df
