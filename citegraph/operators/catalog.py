@@ -15,9 +15,9 @@ WORK_FILTER_KEYS = ("title", "publication_year", "type", "language", "cited_by_c
 # ── assertions ───────────────────────────────────────────────────────────────
 
 
-def upsert_assertions(claims: DataFrame, order: Sequence[str | Column] = (F.desc("seq"),)) -> DataFrame:
-    """Last write per (node, provider). The write order decides, whatever the timestamps say."""
-    return best_row(claims, ["canonical_id", "source"], list(order))
+def upsert_assertions(claims: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """Last write per (node, provider). The write order (`seq`) decides, whatever the timestamps say."""
+    return best_row(claims, ["canonical_id", "source"], list(order) if order else [F.desc("seq")])
 
 
 def assertion_fields(assertions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from citegraph.operators import notes, notes_sync
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
+from citegraph.sources import notes_files
 
 REG = Registry()
 
@@ -95,6 +96,20 @@ def _graph(spark: SparkSession, sf_dir: str) -> notes.NotesGraph:
     return notes.lift_notes(fx.note_files(spark, sf_dir))
 
 
+@REG.query(
+    "G1_read_notes",
+    """SELECT 'n' || doc_id AS slug, length(text) AS size FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src0'""",
+)
+def read_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts as files: only English and French ones are named as notes, one source lies in a hidden folder."""
+    docs = fx.table(spark, sf_dir, "documents")
+    folder = F.concat(F.when(F.col("source") == "src0", F.lit("_")).otherwise(""), "source")
+    suffix = F.when(F.col("lang") == "de", ".md").when(F.col("lang") == "es", ".l3.md.bak").otherwise(".l3.md")
+    path = F.concat(F.lit("file:/_store/"), folder, F.lit("/n"), F.col("doc_id").cast("string"), suffix)
+    found = notes_files.select_notes(docs.select(path.alias("path"), "text"), "/_store")
+    return found.select("slug", F.length("text").cast("long").alias("size"))
+
+
 @REG.query("G2_frontmatter", _sql("SELECT slug, doc, has_frontmatter FROM docs_a"))
 def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.documents(fx.note_files(spark, sf_dir)).select("slug", "doc", "has_frontmatter")
