@@ -39,7 +39,7 @@ def running_total(
     partition boundary, so that offset table has fewer than two rows per partition
     and its broadcast is bounded by the partition count, not by the data.
 
-    The range-partitioned rows are checkpointed first: partition numbers must
+    The range-partitioned rows are written out first: partition numbers must
     not change if a stage is run again.
     """
     from citegraph.session import cut_lineage

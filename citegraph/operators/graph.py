@@ -115,7 +115,7 @@ def neighborhood(
 ) -> Neighborhood:
     """Bounded breadth-first walk from `seeds` (canonical_id), closed and ranked by in-degree.
 
-    One join per hop, the visited set checkpointed in between; the driver sees one
+    One join per hop, the newly visited nodes written out in between; the driver sees one
     count per hop. Where the cap bites, the smallest ids of that hop are kept.
     An edge is in the closed subgraph when its near end was expanded (depth below
     the limit) and its far end was visited, so edges are joined once after the walk.

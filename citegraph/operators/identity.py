@@ -12,11 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegraph.functions.ranking import best_row, running_total
-from citegraph.session import cut_lineage
+from citegraph.session import Rounds, cut_lineage
 
 ALIAS_KEY = ["scheme", "value"]
 MAX_ROUNDS = 60
-MAX_POINTER_ROUNDS = 32
 
 # Strength order of alias schemes when one alias must speak for a bundle.
 SCHEME_STRENGTH = ("doi", "pmid", "pmcid", "openalex", "semantic_scholar", "arxiv")
@@ -78,17 +77,18 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     to its pairs. A hub is a hot join key on the pair side only, which the adaptive
     skew join splits; the other side has one row per vertex.
     """
-    state = cut_lineage(
+    rounds = Rounds(pairs.sparkSession)
+    state = rounds.step(
         pairs.where(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    rounds = 0
-    while not _is_star_forest(state):
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-        state = cut_lineage(_small_star(_large_star(state)))
+    for _ in range(MAX_ROUNDS):
+        if _is_star_forest(state):
+            break
+        state = rounds.step(_small_star(_large_star(state)))
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = state.select(F.col("v").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root"))
     return state.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)
 
@@ -239,11 +239,14 @@ def resolve_live(nodes: DataFrame) -> DataFrame:
     Pointer jumping over the redirects only (live nodes answer themselves): each round
     doubles the distance covered. A target that is no node is where its chain ends.
     """
-    jumps = cut_lineage(nodes.where(F.col("merged_into").isNotNull()).select("canonical_id", F.col("merged_into").alias("to_id")))
-    for _ in range(MAX_POINTER_ROUNDS):
+    rounds = Rounds(nodes.sparkSession)
+    jumps = rounds.step(nodes.where(F.col("merged_into").isNotNull()).select("canonical_id", F.col("merged_into").alias("to_id")))
+    # A chain of n redirects ends after log2(n) doublings; one that goes on is a cycle.
+    for _ in range(jumps.count().bit_length() + 1):
         onward = jumps.select(F.col("canonical_id").alias("to_id"), F.col("to_id").alias("next_id"))
-        stepped = cut_lineage(jumps.join(onward, "to_id", "left"))
+        stepped = rounds.step(jumps.join(onward, "to_id", "left"))
         if stepped.where(F.col("next_id").isNotNull()).isEmpty():
+            jumps = stepped
             break
         jumps = stepped.select("canonical_id", F.coalesce("next_id", "to_id").alias("to_id"))
     else:

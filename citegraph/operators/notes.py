@@ -92,7 +92,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
 
 
 def lift_notes(files: DataFrame) -> NotesGraph:
-    """All tables of the notes graph. The texts are read once and the parse is checkpointed; the tables are
+    """All tables of the notes graph. The texts are read once and the parse is written out; the tables are
     projections of it, but for `properties`, where the last of equal keys must win."""
     parsed = cut_lineage(parse_notes(files))
     docs = parsed.select("slug", "doc", "has_frontmatter", "block")

@@ -16,7 +16,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # One store may emit any share of the changes: merge its sessions per task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -32,34 +31,59 @@ def build_session(app: str = "citegraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables (`spark.checkpoint.dir`).
+
+    Only a local session without that setting gets a temporary one of its own.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegraph-ckpt-"))
-    else:
+        return configured.rstrip("/")
+    if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: iterative jobs need a shared folder that outlives executors"
         )
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegraph-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables; all of one application lie together, to be removed with it."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _write_and_read(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and continue from there.
+    """Write `df` to the shared folder and continue from the written table.
 
-    Reliable on purpose: a lost executor re-reads the files instead of losing the round.
+    A lost executor re-reads files instead of losing the work. A written table also has a true
+    size: a checkpointed frame keeps the *estimated* size of its plan, which multiplies at every
+    join and, squared round after round, becomes a number too long to compute with.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _write_and_read(df, work_folder(df.sparkSession, "table"))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables, under the shared folder that checkpoints use."""
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+class Rounds:
+    """Tables of an iteration: each step is written, then the step before it is removed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._root = work_folder(spark, "rounds")
+        self._spark = spark
+        self._n = 0
+
+    def step(self, df: DataFrame) -> DataFrame:
+        out = _write_and_read(df, f"{self._root}/{self._n}")
+        if self._n:
+            jvm = self._spark.sparkContext._jvm
+            old = jvm.org.apache.hadoop.fs.Path(f"{self._root}/{self._n - 1}")
+            old.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self._n += 1
+        return out
 
 
 def measure(df: DataFrame, *text_columns: str) -> tuple[int, int]:

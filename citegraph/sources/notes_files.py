@@ -9,7 +9,7 @@ SUFFIX = ".l3.md"
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """(slug, text, path) of every note under `path`, each file whole."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").text(path, wholetext=True)
     return select_notes(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), path)
 
 
