@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from citegraph.functions import notes_grammar as g
 from citegraph.functions.columns import text_lines, trim_end
 from citegraph.functions.ranking import best_row
+from citegraph.session import cut_lineage
 
 
 
@@ -127,13 +128,14 @@ def plan_merge(source: DataFrame, dest: DataFrame, base: DataFrame) -> MergePlan
     unite their lines unless the headings differ. A hash is recorded only for content both
     sides hold afterwards.
     """
-    d_units, d_heads = units(dest), headers(dest)
-    plan = _node_plan(units(source), d_units, base)
+    # Both collections are parsed once and the plan is made once; all results below read the written tables.
+    d_units, d_heads = cut_lineage(units(dest)), cut_lineage(headers(dest))
+    plan = cut_lineage(_node_plan(units(source), d_units, base))
     additions = plan.where("action = 'add'").select(
         F.col("s_slug").alias("slug"), F.lit(1).alias("late"), F.col("s_ord").alias("ord"),
         F.col("s_heading").alias("heading"), F.col("s_body").alias("body"),
     )
-    head_plan = _header_plan(headers(source), d_heads, base, additions.select("slug").distinct())
+    head_plan = cut_lineage(_header_plan(headers(source), d_heads, base, additions.select("slug").distinct()))
     edits = plan.where("action IN ('replace', 'line_union')").select(
         F.col("d_slug").alias("slug"), F.col("d_ord").alias("ord"),
         F.when(F.col("action") == "replace", F.col("s_heading")).otherwise(F.col("d_heading")).alias("_heading"),
