@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import quality_rules
+from citegraph.llm import decontamination, near_dedup, quality_rules
 from citegraph.llm.common import read_table
 from citegraph.plans.registry import Registry
 
@@ -14,3 +14,13 @@ REG = Registry()
 @REG.query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(read_table(spark, sf_dir, "documents"))
+
+
+@REG.query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
+@REG.query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
