@@ -174,3 +174,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most `per_class` documents of each label (0, 1) that may be learnt from, by a hash of the id.
+
+    Ids are picked before texts are joined. An id with several labels counts as 1 if most say so.
+    """
+    rated = (
+        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where(~held_out(F.col("doc_id")) & F.col("label").isin(0, 1))
+        .groupBy("doc_id")
+        .agg((F.avg("label") > 0.5).cast("int").alias("label"))
+    )
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    picks = [
+        rated.where(F.col("label") == k).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(per_class).drop("_h") for k in (0, 1)
+    ]
+    picked = picks[0].unionByName(picks[1])  # at most 2 * per_class rows
+    sample = known.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return sample.dropDuplicates(["doc_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import decontamination, near_dedup, packing, quality_rules, secrets
+from citegraph.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, toxicity
 from citegraph.llm.common import read_table
 from citegraph.plans.registry import Registry
 
@@ -35,3 +35,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("op9_secret_scans")
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+@REG.query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@REG.query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read_table(spark, sf_dir, "documents"))
+
+
+@REG.query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
