@@ -194,3 +194,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = picks[0].unionByName(picks[1])  # at most 2 * per_class rows
     sample = known.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     return sample.dropDuplicates(["doc_id"])
+
+
+def bitmap_of(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A Bloom filter (two probes, 2^bits bits) of a long column, put together in Spark; the driver receives the bitmap alone."""
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(probes(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at))], ["bit"])
+
+    found = values.select(F.col(column).cast("long").alias("v")).where("v IS NOT NULL").mapInArrow(positions, "bit long")
+    word = found.groupBy((F.col("bit") / 64).cast("long").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), _U)
+    table = word.toArrow()
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(_U)
+    return out
+
+
+def probes(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(values.view(_U))
+    return (h >> _U(64 - bits)).astype(np.int64), (h & _U((1 << bits) - 1)).astype(np.int64)
+
+
+def in_bitmap(values: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which values may be in the filter; those that are in it always are."""
+    hit = np.ones(len(values), bool)
+    for probe in probes(values, bits):
+        hit &= (table[probe >> 6] >> (probe & 63).astype(_U)) & _U(1) == 1
+    return hit
+
+
+def bitmap_bits(rows: int) -> int:
+    """Sixteen bits a row, from 8 KB to at most 64 MB whatever the rows."""
+    return int(min(29, max(16, np.ceil(np.log2(max(rows, 1) * 16)))))

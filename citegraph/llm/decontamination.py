@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from citegraph.llm.common import fresh_name, mix, pieces, words_of
+from citegraph.llm.common import bitmap_of, fresh_name, in_bitmap, pieces, words_of
 from citegraph.session import cut_lineage
 
 MIN_TILE = 5
@@ -51,27 +51,6 @@ def item_seeds(items: DataFrame, id_col: str, text: str) -> DataFrame:
     return source.mapInArrow(rows, "item_id long, n_words long, words binary, seeds array<long>")
 
 
-def _probes(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = seeds.view(_U)
-    return (s >> _U(64 - FILTER_BITS)).astype(np.int64), (s & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter as 64-bit words, put together in Spark; the driver receives the bitmap (4 MB), not the seeds."""
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column("seed").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_probes(s))))], ["bit"])
-
-    bits = seeds.select("seed").mapInArrow(positions, "bit long").distinct()
-    word = bits.groupBy((F.col("bit") / 64).cast("long").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), _U)
-    table = word.toArrow()
-    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(_U)
-    return out
-
-
 def _longest_runs(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Starts (in a, in b) of common runs of length n, by rolling hashes confirmed word by word. 0 words are marked and match nothing."""
     def rolled(x: np.ndarray) -> np.ndarray:
@@ -144,10 +123,7 @@ def shared_seeds(docs: DataFrame, bits: np.ndarray, id_col: str, text: str) -> D
             for part in pieces(batch, "text"):
                 words = words_of(part.column("text"))
                 at, seeds = words.grams(MIN_TILE)
-                first, second = _probes(seeds)
-                hit = np.ones(len(seeds), bool)
-                for probe in (first, second):
-                    hit &= (table[probe >> 6] >> (probe & 63).astype(_U)) & _U(1) == 1
+                hit = in_bitmap(seeds, table, FILTER_BITS)
                 own, found = words.rows[at[hit]], seeds[hit]
                 which = np.unique(own)
                 code = [words.hashes[words.of(i)].tobytes() for i in which]
@@ -175,7 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     """(doc_id, item_id, n_words, covered, n_tiles, coverage) for each leaked item of each document."""
     known = cut_lineage(item_seeds(items, item_id, item_text).withColumn("item", F.monotonically_increasing_id()))
     seeds = known.select("item", F.explode("seeds").alias("seed"))
-    found = cut_lineage(shared_seeds(docs, seed_filter(seeds), id_col, text).withColumn("doc", F.md5("words")))
+    found = cut_lineage(shared_seeds(docs, bitmap_of(seeds, "seed", FILTER_BITS), id_col, text).withColumn("doc", F.md5("words")))
     # Documents with the same words and id share their pairs.
     texts = found.dropDuplicates(["doc"]).select("doc", "words", "seeds")
     pairs = texts.select("doc", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc", "item").distinct()
