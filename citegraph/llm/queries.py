@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, toxicity
+from citegraph.llm import (
+    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity,
+)
 from citegraph.llm.common import read_table
 from citegraph.plans.registry import Registry
 
@@ -50,3 +52,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@REG.query("op1_chat_formatting")
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+@REG.query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
