@@ -279,7 +279,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     room = sums["room"] or 0
     windows = int(placed.agg(F.max("sequence_id")).first()[0] or -1) + 1 if histogram.any() else 0
     pool = every.where("ids IS NOT NULL")
-    pool = pool.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(_blocks(pool.count()))))
+    # These rows carry their ids, so fewer of them make a block.
+    pool = pool.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(_blocks(10 * pool.count()))))
     pool = _running(pool, "block", ["doc_id", "start", "ids_crc32"], "length", "from").drop("block", "ids_crc32", "start").withColumn("to", F.col("from") + F.col("length")).drop("length")
     pool = cut_lineage(pool)
     total = pool.agg(F.max("to")).first()[0] or 0

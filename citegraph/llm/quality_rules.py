@@ -141,6 +141,8 @@ class VoteModel:
         return (good if vote > 0 else bad) / (good + bad)
 
 
+#: A vote in favour is common to both classes: it may not weigh more than this.
+MAX_FAVOUR = 4.0
 #: Where EM starts, and pseudo-texts that hold it there: a rule that never votes keeps its start.
 START_PRIOR, START_FIRES, PSEUDO = 0.8, {-1: (0.02, 0.3), 1: (0.8, 0.5)}, 10.0
 
@@ -167,7 +169,7 @@ def fit_votes(patterns: DataFrame, rounds: int = 15, tolerance: float = 1e-4) ->
             was = start.fires[name]
             g = (row[f"{name}_good"] + PSEUDO * was[0]) / (good + PSEUDO)
             b = (row[name] - row[f"{name}_good"] + PSEUDO * was[1]) / (bad + PSEUDO)
-            fires[name] = (g, max(b, g)) if vote < 0 else (g, min(b, g))
+            fires[name] = (g, max(b, g)) if vote < 0 else (g, min(max(b, g / MAX_FAVOUR), g))
         new = VoteModel((good + PSEUDO * START_PRIOR) / (row["all"] + PSEUDO), fires)
         moved = max([abs(new.prior - model.prior)] + [abs(x - y) for k in fires for x, y in zip(fires[k], model.fires[k])])
         model = new
