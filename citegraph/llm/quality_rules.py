@@ -142,7 +142,7 @@ class VoteModel:
 
 
 #: A vote in favour is common to both classes: it may not weigh more than this.
-MAX_FAVOUR = 4.0
+MAX_FAVOUR = 3.0
 #: Where EM starts, and pseudo-texts that hold it there: a rule that never votes keeps its start.
 START_PRIOR, START_FIRES, PSEUDO = 0.8, {-1: (0.02, 0.3), 1: (0.8, 0.5)}, 10.0
 

@@ -42,7 +42,7 @@ def test_em_finds_which_votes_are_right(spark):
     names = [r[0] for r in q.RULES]
     bad = [-1 if n in ("symbols", "few_words") else 0 for n in names]
     good = [1 if v > 0 else 0 for *_, v in q.RULES]
-    one = [-1 if n == "symbols" else g for n, g in zip(names, good)]
+    one = [-1 if n == "symbols" else g if n == "many_words" else 0 for n, g in zip(names, good)]
     patterns = spark.createDataFrame([(*bad, 60), (*[b or g for b, g in zip(bad, good)], 40), (*good, 900), (*one, 5)], [*names, "n"])
     model = q.fit_votes(patterns)
     assert 0.85 < model.prior < 0.95
