@@ -50,7 +50,7 @@ def test_em_finds_which_votes_are_right(spark):
     from pyspark.sql import functions as F
 
     p = [r["p"] for r in patterns.select("n", model.posterior({n: F.col(n) for n in names}).alias("p")).orderBy("n").collect()]
-    assert max(p[:3]) < 0.5 and p[3] > 0.99
+    assert max(p[:3]) < 0.5 and p[3] > 0.95
 
 
 @pytest.mark.parametrize("text, kept", [("word " * 19, False), (" ".join(f"w{i}" for i in range(20)) + ".", True)])
