@@ -45,7 +45,7 @@ def _cut(text: Column, starts: Callable[[Column], Column]) -> Column:
 def split_blank_lines(text: Column, n: int) -> Column:
     """A page starts at a non-blank line after `n` or more blank ones; the blanks stay with the page before."""
     if n < 1:
-        raise ValueError("blank-lines count must be at least 1")
+        raise ValueError("a page break needs one blank line or more")
 
     def starts(lines: Column) -> Column:
         def from_blanks(blank: Column) -> Column:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegraph.functions.ranking import order_rows
-from citegraph.session import cut_lineage
+from citegraph.session import Rounds
 
 ROLE_PATTERN = "^[a-z0-9_-]+$"
-MAX_TREE_DEPTH = 200
 
 
 def record_artifacts(arriving: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -83,39 +82,39 @@ def content_hash(content: Column) -> Column:
 
 
 def derivation_tree(artifacts: DataFrame) -> DataFrame:
-    """Depth, dangling parent and display order of every artifact under its parent.
+    """(canonical_id, role, version, depth, dangling, path, cycle): every artifact under its parent.
 
-    Walks level by level from the roots (no parent, or a parent that is not there). `path`
-    orders siblings by role, newest version first: sort by (canonical_id, path).
+    A root has no parent, or one that is not there (`dangling` names it). `path` orders siblings by role, newest
+    version first: sort by (canonical_id, path). Pointer jumping: each round doubles how far up an artifact
+    sees, so a chain of n takes log2(n) rounds. What no root reaches lies on or below a cycle: `cycle` is true, depth and path null.
     """
-    rows = artifacts.select("canonical_id", "role", "version", "derived_from_role", "derived_from_version")
-    present = rows.select(
-        "canonical_id", F.col("role").alias("derived_from_role"), F.col("version").alias("derived_from_version"),
-        F.lit(True).alias("_has_parent"),
-    )
-    link = ["canonical_id", "derived_from_role", "derived_from_version"]
-    step = F.struct(F.col("role").alias("role"), (-F.col("version")).alias("newest_first"))
-    linked = cut_lineage(rows.join(present, link, "left"))
+    key = ["canonical_id", "role", "version"]
+    rows = artifacts.select(*key, "derived_from_role", "derived_from_version")
+    up = F.when(F.col("_there"), F.struct(F.col("derived_from_role").alias("role"), F.col("derived_from_version").alias("version")))
+    there = rows.select("canonical_id", F.col("role").alias("derived_from_role"), F.col("version").alias("derived_from_version"), F.lit(True).alias("_there")).distinct()
+    linked = rows.join(there, ["canonical_id", "derived_from_role", "derived_from_version"], "left")
     label = F.concat(F.col("derived_from_role"), F.lit(" v"), F.col("derived_from_version").cast("string"))
-    level = linked.where(F.col("_has_parent").isNull()).select(
-        "canonical_id", "role", "version", F.lit(0).alias("depth"), label.alias("dangling"), F.array(step).alias("path")
-    )
-    children = linked.where("_has_parent").drop("_has_parent")
-    out = level = cut_lineage(level)
-    for depth in range(1, MAX_TREE_DEPTH + 1):
-        parents = level.select(
-            "canonical_id", F.col("role").alias("derived_from_role"), F.col("version").alias("derived_from_version"), "path"
+    step = F.struct(F.col("role").alias("role"), (-F.col("version")).alias("newest_first"))
+    rounds = Rounds(artifacts.sparkSession)
+    state = rounds.step(
+        linked.select(
+            *key, up.alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth"), F.when(F.col("_there").isNull(), label).alias("dangling"), F.array(step).alias("path")
         )
-        level = cut_lineage(
-            children.join(parents, link).select(
-                "canonical_id", "role", "version", F.lit(depth).alias("depth"), F.lit(None).cast("string").alias("dangling"),
-                F.concat("path", F.array(step)).alias("path"),
+    )
+    total = state.count()  # no path is longer, but on a cycle
+    for _ in range(total.bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            break
+        above = state.select("canonical_id", F.struct("role", "version").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        joined = state.join(above, ["canonical_id", "up"], "left")
+        state = rounds.step(
+            joined.select(
+                *key, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "dangling",
+                F.when(F.size("_path") + F.size("path") <= total, F.concat("_path", "path")).otherwise(F.col("path")).alias("path"),
             )
         )
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise RuntimeError(f"derivation deeper than {MAX_TREE_DEPTH} levels")
+    lost = F.col("up").isNotNull()
+    return state.select(*key, F.when(~lost, F.col("depth")).alias("depth"), "dangling", F.when(~lost, F.col("path")).alias("path"), lost.alias("cycle"))
 
 
 # ── bibliographic keys ───────────────────────────────────────────────────────
@@ -129,23 +128,35 @@ _ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłľñ
 _PLAIN = "aaaaaaaaacccddeeeeeeeegiiiiiiillnnnoooooooorrsssttuuuuuuuuyyzzzAAAAAAAAACCCDDEEEEEEEEGIIIIIIILLNNNOOOOOOOORRSSSTTUUUUUUUUYYZZZ"
 
 
-def to_ascii(text: Column) -> Column:
-    """Latin letters without their marks; anything else outside ASCII is dropped."""
-    folded = F.translate(text, _ACCENTED, _PLAIN)
-    for letter, plain in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d"), ("Æ", "AE"), ("Œ", "OE"), ("Þ", "Th")):
+# Greek and Cyrillic letters and how they are written in Latin ones.
+_GREEK = dict(zip("αβγδεζηικλμνξοπρςστυω", "abgdeziiklmnxoprsstyo")) | {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps", "ά": "a", "έ": "e", "ή": "i", "ί": "i", "ό": "o", "ύ": "y", "ώ": "o"}
+_CYRILLIC = dict(zip("абвгдезийклмнопрстуфыэіёґ", "abvgdeziiklmnoprstufyeieg")) | {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya", "є": "ye", "ї": "yi"}
+_PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "Æ": "AE", "Œ": "OE", "Þ": "Th"}
+
+
+def romanized(text: Column) -> Column:
+    """Latin letters without their marks, Greek and Cyrillic in Latin letters; other scripts stay as they are."""
+    single = {k: v for table in (_GREEK, _CYRILLIC) for k, v in table.items() if len(v) == 1}
+    single |= {k.upper(): v.upper() for k, v in single.items() if k.upper() not in single}
+    several = _PAIRS | {k: v for table in (_GREEK, _CYRILLIC) for k, v in table.items() if len(v) != 1}
+    several |= {k.upper(): v.capitalize() for k, v in several.items() if len(k.upper()) == 1 and k.upper() not in several}
+    folded = F.translate(text, _ACCENTED + "".join(single), _PLAIN + "".join(single.values()))
+    for letter, plain in several.items():
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    return folded
 
 
 def surname_part(author: Column) -> Column:
-    words = F.split(to_ascii(author), r"[\s-]+")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", ""))
+    """The author's words run together, each with a capital; `Anon` where nothing is left."""
+    words = F.split(romanized(author), r"[\s-]+")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
     cased = F.transform(bare, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
-    return F.array_join(cased, "")
+    joined = F.array_join(cased, "")
+    return F.when(F.coalesce(F.length(joined), F.lit(0)) > 0, joined).otherwise("Anon")
 
 
 def title_part(title: Column) -> Column:
-    words = F.filter(F.split(F.lower(to_ascii(title)), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(romanized(F.coalesce(title, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     kept = F.slice(F.filter(words, lambda w: ~w.isin(*TITLE_STOP_WORDS)), 1, 5)
     return (
         F.when(F.size(kept) > 0, F.array_join(kept, "-"))
@@ -157,12 +168,13 @@ def title_part(title: Column) -> Column:
 def bibliographic_keys(works: DataFrame) -> DataFrame:
     """(canonical_id, key): surname, `EtAl` for more than one author, year and title words.
 
-    `works`: canonical_id, first_author, n_authors, year, title. The first bearer of a key
+    `works`: canonical_id, first_author, n_authors, year, title. Without an author the key begins with `Anon`, without a
+    year it has `nd`. The first bearer of a key
     keeps it bare, the next ones take b … z, later ones their number.
     """
     stem = F.concat(
         surname_part(F.col("first_author")), F.when(F.col("n_authors") > 1, "EtAl").otherwise(""),
-        F.col("year").cast("string"), F.lit("-"), title_part(F.col("title")),
+        F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.lit("-"), title_part(F.col("title")),
     )
     numbered = order_rows(works.select("canonical_id", stem.alias("stem")), ["stem"], ["canonical_id"], "n")
     suffix = (

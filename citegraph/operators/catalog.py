@@ -20,11 +20,29 @@ def upsert_assertions(claims: DataFrame, order: Sequence[str | Column] | None =
     return best_row(claims, ["canonical_id", "source"], list(order) if order else [F.desc("seq")])
 
 
+def _keep_last_key(df: DataFrame) -> None:
+    """JSON objects that repeat a key keep its last value; without this setting they would not parse at all."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def assertion_rejects(assertions: DataFrame) -> DataFrame:
+    """The assertions whose `attrs` is no JSON: they state no field, and must not vanish unseen."""
+    _keep_last_key(assertions)
+    return assertions.where(F.col("attrs").isNotNull() & F.try_parse_json("attrs").isNull())
+
+
+def reject_counts(assertions: DataFrame) -> DataFrame:
+    """(source, rejects) per provider that has any."""
+    return assertion_rejects(assertions).groupBy("source").agg(F.count(F.lit(1)).alias("rejects"))
+
+
 def assertion_fields(assertions: DataFrame) -> DataFrame:
     """(canonical_id, key, value, source, fetched_at): one row per stated field, value as JSON text.
 
-    An explicit JSON null is a value. Attributes that are not an object state nothing.
+    An explicit JSON null is a value; of equal keys the last counts. Attributes that are not an object state nothing;
+    those that are no JSON are in `assertion_rejects`.
     """
+    _keep_last_key(assertions)
     as_map = F.expr("try_variant_get(try_parse_json(attrs), '$', 'map<string,variant>')")
     stated = assertions.select("canonical_id", "source", "fetched_at", F.explode(as_map).alias("key", "variant"))
     return stated.select("canonical_id", "key", F.to_json("variant").alias("value"), "source", "fetched_at")
@@ -98,6 +116,7 @@ def search_fields(assertions: DataFrame) -> DataFrame:
     Author names are read from author paths only, so an institution or a title never
     satisfies an author filter.
     """
+    _keep_last_key(assertions)
     doc = F.col("_doc")
     listed = lambda path: F.coalesce(
         F.try_variant_get(doc, path, "array<variant>"), F.array().cast("array<variant>")
@@ -184,11 +203,11 @@ def parse_filters(specs: Sequence[str], allowed: Sequence[str] = WORK_FILTER_KEY
     for spec in specs:
         key, colon, value = spec.partition(":")
         if not colon:
-            raise ValueError(f"invalid filter (expected key:value): {spec}")
+            raise ValueError(f"{spec!r} is no filter: a key, a colon and a value are wanted")
         parsed.append((key, value.split("|")))
     bad = [key for key, _ in parsed if key not in allowed]
     if bad:
-        raise ValueError("unknown filter keys: " + ", ".join(bad))
+        raise ValueError("no such column to filter by: " + ", ".join(bad))
     return parsed
 
 

@@ -88,13 +88,17 @@ def _ends(direction: str) -> tuple[str, str]:
     return ("src_id", "dst_id") if direction == "forward" else ("dst_id", "src_id")
 
 
-def edges_of(edges: DataFrame, ids: DataFrame, direction: str = "forward", limit: int | None = 20) -> DataFrame:
-    """Edges leaving (or entering) each requested node, by (other end, relation), at most `limit` per node."""
+def edges_of(edges: DataFrame, ids: DataFrame, direction: str = "forward", limit: int | None = None) -> DataFrame:
+    """Edges leaving (or entering) each requested node.
+
+    With a `limit` the first by (other end, relation) are kept, and `total` says how many the node has.
+    """
     near, far = _ends(direction)
     wanted = edges.join(ids.select(F.col("canonical_id").alias(near)).distinct(), near, "left_semi")
     if limit is None:
         return wanted
-    return first_rows(wanted, [near], [far, "relation"], limit)
+    totals = wanted.groupBy(near).agg(F.count(F.lit(1)).alias("total"))
+    return first_rows(wanted, [near], [far, "relation"], limit).join(totals, near).select(*edges.columns, "total")
 
 
 @dataclass

@@ -14,10 +14,10 @@ from citegraph.functions.columns import text_lines, trim, trim_end
 from citegraph.functions.ranking import best_row, first_rows
 from citegraph.session import cut_lineage
 
-NO_ANCHOR = "heading without anchor"
-NO_FRONTMATTER = "no YAML frontmatter block"
-MALFORMED_MAP = "malformed flow map"
-NEITHER_FORM = "link line that parses as neither form"
+NO_ANCHOR = "this heading has no anchor"
+NO_FRONTMATTER = "the note has no frontmatter"
+MALFORMED_MAP = "the braces hold no readable map"
+NEITHER_FORM = "a link line in neither of the two forms"
 
 # Keys a note must state, and the order of reading roles.
 REQUIRED_FRONTMATTER = ("doc",)
@@ -207,9 +207,10 @@ def document_summary(graph: NotesGraph) -> DataFrame:
     counted = graph.nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("nodes"))
     outgoing = graph.links.where("source.type = 'node' AND target.type = 'catalog'").select(
         F.col("source.value").alias("id"), g.endpoint_text(F.col("target")).alias("work_ref")
-    )
+    ).distinct()
+    # An anchor written many times, or with many links, meets each document and each work once.
     works = (
-        graph.nodes.where(F.col("id").isNotNull()).select("id", "doc").join(outgoing, "id").select("doc", "work_ref").distinct()
+        graph.nodes.where(F.col("id").isNotNull()).select("id", "doc").distinct().join(outgoing, "id").select("doc", "work_ref").distinct()
         .groupBy("doc").agg(F.count(F.lit(1)).alias("works"))
     )
     return counted.join(works, "doc", "left").fillna(0, ["works"])
@@ -228,16 +229,16 @@ def lint(files: DataFrame, graph: NotesGraph) -> DataFrame:
     finding = lambda df, text: df.select("slug", "doc", F.lit(0).alias("line"), (text if isinstance(text, Column) else F.lit(text)).alias("warning"))
     out = finding(docs.where(~F.col("has_frontmatter")), NO_FRONTMATTER)
     for key in REQUIRED_FRONTMATTER:
-        out = out.unionByName(finding(docs.where(g.frontmatter_value(F.col("block"), key).isNull()), f"missing required frontmatter key `{key}`"))
-    out = out.unionByName(finding(docs.where(stated != F.col("slug")), "frontmatter doc differs from file stem"))
+        out = out.unionByName(finding(docs.where(g.frontmatter_value(F.col("block"), key).isNull()), f"the frontmatter lacks `{key}`"))
+    out = out.unionByName(finding(docs.where(stated != F.col("slug")), "the note names another document than its file"))
     out = out.unionByName(
-        finding(docs.where(g.frontmatter_value(F.col("block"), "domain").isNotNull()), "legacy `domain` key present")
+        finding(docs.where(g.frontmatter_value(F.col("block"), "domain").isNotNull()), "the old key `domain` is still there")
     )
     with_catalog = _ends_by_document(graph).where("end.type = 'catalog'").select(F.col("source_doc").alias("doc")).distinct()
-    out = out.unionByName(finding(docs.join(with_catalog, "doc", "left_anti"), "no catalog reference"))
+    out = out.unionByName(finding(docs.join(with_catalog, "doc", "left_anti"), "the note refers to no catalog work"))
     heads = documents(files).select("slug", "doc", F.filter("lines", lambda l: F.rlike(l, F.lit(r"(?U)\A## (?:.*\s)?\^t-\S*\s*\z"))).alias("temp"))
-    out = out.unionByName(finding(heads.where(F.size("temp") > 0), "unresolved temporary anchor"))
-    parsed = docs.select("slug", "doc").join(graph.warnings.select("doc", "line", "message"), "doc")
+    out = out.unionByName(finding(heads.where(F.size("temp") > 0), "a temporary anchor is left"))
+    parsed = docs.select("slug", "doc").join(graph.warnings.select("doc", "line", "message").distinct(), "doc")
     return out.unionByName(parsed.select("slug", "doc", "line", F.col("message").alias("warning")))
 
 
@@ -339,8 +340,9 @@ def write_gate(incoming: DataFrame, stored: DataFrame, force: bool = False) -> D
     graph = lift_notes(incoming)
     blocking = graph.warnings.where(F.col("message") != NO_ANCHOR).select("slug").distinct().withColumn("_blocked", F.lit(True))
     mine = graph.nodes.where(F.col("id").isNotNull()).select("slug", "id").distinct()
-    theirs = node_rows(stored).where(F.col("id").isNotNull()).select(F.col("slug").alias("_other"), "id").distinct()
-    clash = mine.join(theirs, "id").where("slug <> _other").select("slug").distinct().withColumn("_clash", F.lit(True))
+    # The first and the last note that holds an anchor tell whether any other one does.
+    theirs = node_rows(stored).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("slug").alias("_first"), F.max("slug").alias("_last"))
+    clash = mine.join(theirs, "id").where("slug <> _first OR slug <> _last").select("slug").distinct().withColumn("_clash", F.lit(True))
     joined = incoming.select("slug").join(blocking, "slug", "left").join(clash, "slug", "left")
     outcome = (
         F.when(F.col("_blocked") & F.lit(not force), "blocked").when(F.col("_clash"), "conflict").otherwise("accepted")

@@ -124,9 +124,9 @@ def _header_plan(source: DataFrame, dest: DataFrame, base: DataFrame, grown: Dat
 def plan_merge(source: DataFrame, dest: DataFrame, base: DataFrame) -> MergePlan:
     """Directional merge of note files, source into destination.
 
-    Additions merge as a union; deletions never travel; an edit on one side wins, edits on both
-    unite their lines unless the headings differ. A hash is recorded only for content both
-    sides hold afterwards.
+    What only one side has is added to the other and nothing is removed. Where one side changed a node its version
+    stands; where both did, lines are united, or the node is left alone if its headings differ. Hashes are
+    recorded for what both sides hold in the end.
     """
     # Both collections are parsed once and the plan is made once; all results below read the written tables.
     d_units, d_heads = cut_lineage(units(dest)), cut_lineage(headers(dest))

@@ -30,7 +30,7 @@ def paginate(texts: DataFrame, separator: str = "form-feed") -> DataFrame:
     elif kind == "regex" and argument:
         pages = page_text.split_regex(text, argument)
     else:
-        raise ValueError(f"separator {separator!r}: expected form-feed, blank-lines:<n> or regex:<pattern>")
+        raise ValueError(f"cannot split pages at {separator!r}: give form-feed, blank-lines:N or regex:PATTERN")
     return texts.select("doc", F.posexplode(pages).alias("_at", "text")).select(
         "doc", (F.col("_at") + 1).alias("page_index"), "text"
     )
@@ -104,7 +104,7 @@ def bad_anchors(anchors: DataFrame) -> DataFrame:
 
 
 def folio_runs(pages: DataFrame) -> DataFrame:
-    """(doc, first_page, last_page, first_folio, last_folio): stretches where the folio advances by one per page."""
+    """(doc, first_page, last_page, first_folio, last_folio): runs of pages whose folios count up without a gap."""
     typed = pages.select("doc", "page_index", "folio", folio_kind(F.col("folio")).alias("k")).select(
         "doc", "page_index", "folio", F.col("k.kind").alias("kind"), F.col("k.n").alias("n")
     )
@@ -215,8 +215,10 @@ def chunk_pages(pages: DataFrame, max_tokens: int = 512, overlap: int = 64) -> D
 
 
 def chunks_for_pages(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Chunks that touch each requested range (request_id, doc, first_page, last_page)."""
-    return overlap_join(requests, chunks, "doc", ("first_page", "last_page"), ("page_start", "page_end"))
+    """Chunks that touch each requested range (request_id, doc, first_page, last_page). Ranges end at the document's last page."""
+    ends = chunks.groupBy("doc").agg(F.max("page_end").alias("_end"))
+    within = requests.join(ends, "doc").withColumn("first_page", F.greatest("first_page", F.lit(1))).withColumn("last_page", F.least("last_page", F.col("_end")))
+    return overlap_join(within.drop("_end"), chunks, "doc", ("first_page", "last_page"), ("page_start", "page_end"))
 
 
 # ── locators ─────────────────────────────────────────────────────────────────
@@ -280,14 +282,27 @@ def locate_sections(requests: DataFrame, sections: DataFrame, page_counts: DataF
 
 
 def locate_quotes(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """(request_id, doc, page_index) for every page that contains a requested `needle`, case kept.
+    """(request_id, doc, status, page_index) for every page that contains a requested `needle`, case kept.
 
-    The request table is measured: small ones are broadcast and pages stay where they are;
-    larger ones meet their document's pages in a shuffle join, where skew is split.
+    A needle that is nowhere gives one row `quote_not_found`, an empty or null one `empty_quote`. Requests meet pages
+    through the needle's first three characters, so a document with many requests and many pages is not all pairs;
+    shorter needles are compared with all pages of their document.
     """
-    _, size = measure(requests, "needle")
-    hits = pages.select("doc", "page_index", "text").join(broadcast_if_small(requests, size), "doc").where(F.contains("text", "needle"))
-    return hits.select("request_id", "doc", "page_index")
+    gram = 3
+    asked = requests.select("request_id", "doc", "needle")
+    usable = asked.where(F.length("needle") > 0)
+    long, short = usable.where(F.length("needle") >= gram), usable.where(F.length("needle") < gram)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (gram - 1), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(gram))))
+    wanted = long.withColumn("_gram", F.substring("needle", 1, gram))
+    held = pages.select("doc", "page_index", F.explode(starts).alias("_gram")).join(wanted.select("doc", "_gram").distinct(), ["doc", "_gram"], "left_semi")
+    near = held.join(wanted.select("request_id", "doc", "needle", "_gram"), ["doc", "_gram"]).select("request_id", "doc", "page_index", "needle")
+    far = pages.select("doc", "page_index").join(short, "doc").select("request_id", "doc", "page_index", "needle")
+    hits = near.unionByName(far).join(pages.select("doc", "page_index", "text"), ["doc", "page_index"]).where(F.contains("text", "needle"))
+    found = hits.select("request_id", "doc", "needle", F.lit("found").alias("status"), "page_index").distinct()
+    missed = usable.join(found, ["request_id", "doc", "needle"], "left_anti").select("request_id", "doc", F.lit("quote_not_found").alias("status"))
+    empty = asked.where(F.coalesce(F.length("needle"), F.lit(0)) == 0).select("request_id", "doc", F.lit("empty_quote").alias("status"))
+    none = missed.unionByName(empty).withColumn("page_index", F.lit(None).cast("int"))
+    return found.drop("needle").unionByName(none)
 
 
 def read_span(spans: DataFrame, pages: DataFrame) -> DataFrame:

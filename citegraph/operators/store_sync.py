@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from citegraph.operators.catalog import stats
 from citegraph.operators.identity import ALIAS_KEY, address_alias, alias_text, resolve_live
+from citegraph.session import cut_lineage
+from citegraph.sources.emission import Emission, record_aliases
 
 
 @dataclass
@@ -29,6 +31,61 @@ class Store:
         return self.edge_assertions.select("src_id", "dst_id", "relation").distinct()
 
 
+@dataclass
+class Applied:
+    """The store after an emission, and which node each record became."""
+
+    store: Store
+    record_nodes: DataFrame
+
+
+def apply_emission(store: Store, emission: Emission) -> Applied:
+    """Write records and edges into a store: identity, claims, merges, then edges on what is known by then.
+
+    Every table of the result is written once. Applying the same emission again changes nothing.
+    """
+    from citegraph.operators import graph, identity
+    from citegraph.operators.catalog import upsert_assertions
+
+    records = cut_lineage(emission.records)
+    live = resolve_live(store.nodes)
+    known = store.aliases.join(live, "canonical_id").select(*ALIAS_KEY, F.col("live_id").alias("canonical_id"))
+    done = identity.resolve_identity(record_aliases(records), known, records.select("record_id", "seq", "kind"))
+    redirects = cut_lineage(done.redirects)
+    record_nodes = cut_lineage(done.record_nodes)
+
+    # A record without aliases mints the same id each time, so ids already there are not added again.
+    held = store.nodes.select("canonical_id")
+    nodes = identity.merge_nodes(store.nodes, redirects).unionByName(
+        done.new_nodes.select("canonical_id", "kind", "merged_into").join(held, "canonical_id", "left_anti")
+    )
+    moved = identity.merge_aliases(store.aliases, redirects)
+    aliases = moved.unionByName(done.aliases.select(*ALIAS_KEY, "canonical_id").join(moved.select(*ALIAS_KEY), ALIAS_KEY, "left_anti"))
+
+    # A direct write replaces its provider's claim whatever the times; among the emission's own the last counts.
+    claimed = records.join(record_nodes, "record_id").select("canonical_id", "source", "attrs", "fetched_at", "seq")
+    fresh = upsert_assertions(claimed).drop("seq")
+    old = identity.merge_node_assertions(store.assertions, redirects).select("canonical_id", "source", "attrs", "fetched_at")
+    assertions = old.join(fresh, ["canonical_id", "source"], "left_anti").unionByName(fresh)
+
+    aliases = cut_lineage(aliases)
+    written = graph.put_edges(emission.edges, aliases)
+    old_edges = identity.merge_edge_assertions(store.edge_assertions, redirects)
+    new_edges = cut_lineage(graph.edge_assertions(written.claims))
+    edge_assertions = old_edges.select(*new_edges.columns).join(new_edges, [*graph.EDGE_KEY, "source"], "left_anti").unionByName(new_edges)
+    stubs = written.stub_nodes.join(nodes.select("canonical_id"), "canonical_id", "left_anti")
+    return Applied(
+        Store(
+            nodes=cut_lineage(nodes.unionByName(stubs)),
+            aliases=cut_lineage(aliases.unionByName(written.stub_aliases.select(*ALIAS_KEY, "canonical_id"))),
+            assertions=cut_lineage(assertions),
+            edge_assertions=cut_lineage(edge_assertions),
+            artifacts=cut_lineage(identity.merge_artifacts(store.artifacts, redirects)),
+        ),
+        record_nodes,
+    )
+
+
 # ── comparison ───────────────────────────────────────────────────────────────
 
 

@@ -52,6 +52,32 @@ def merged_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("canonical_id", F.array_join(entries, ";").alias("record"))
 
 
+def _odd_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim per part that repeats a key; one part in seven states broken JSON."""
+    part = fx.table(spark, sf_dir, "part")
+    stated = F.concat(F.lit('{"a":'), "p_size", F.lit(',"b":"'), "p_brand", F.lit('","a":'), "p_partkey")
+    return part.select(
+        F.concat(F.lit("p"), "p_partkey").alias("canonical_id"), F.concat(F.lit("s"), F.col("p_partkey") % 3).alias("source"), F.lit("2024-01-01").alias("fetched_at"),
+        F.when(F.col("p_partkey") % 7 == 0, stated).otherwise(F.concat(stated, F.lit("}"))).alias("attrs"),
+    )
+
+
+@REG.query(
+    "C1_duplicate_keys",
+    """SELECT 'p' || p_partkey AS canonical_id, k.key, CASE k.key WHEN 'a' THEN CAST(p_partkey AS VARCHAR) ELSE '"' || p_brand || '"' END AS value
+       FROM part, (VALUES ('a'), ('b')) k(key) WHERE p_partkey % 7 <> 0""",
+)
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal keys the last counts, and the other keys of the object stay."""
+    return catalog.assertion_fields(_odd_claims(spark, sf_dir)).select("canonical_id", "key", "value")
+
+
+@REG.query("C1_rejects", "SELECT 's' || (p_partkey % 3) AS source, count(*) AS rejects FROM part WHERE p_partkey % 7 = 0 GROUP BY 1")
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken claims are counted per provider."""
+    return catalog.reject_counts(_odd_claims(spark, sf_dir))
+
+
 @REG.query(
     "C3_upsert_node_assertion",
     with_views("assertion_in", "SELECT canonical_id, source, fetched_at, seq FROM latest", extra=LATEST_SQL),
@@ -344,7 +370,7 @@ def content_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 DERIVED_SQL = ARTIFACT_SQL + """,
 derived AS (
   SELECT canonical_id, role, version, CASE WHEN version > 1 THEN role END AS prole,
-         CASE WHEN version > 1 THEN CASE WHEN version % 7 = 0 THEN version + 100000 ELSE version // 2 END END AS pversion FROM recorded),
+         CASE WHEN version > 1 THEN CASE WHEN version % 97 = 0 THEN version + 100000 ELSE version - 1 END END AS pversion FROM recorded),
 tree(canonical_id, role, version, depth, dangling) AS (
   SELECT d.canonical_id, d.role, d.version, 0, d.prole || ' v' || d.pversion FROM derived d
   WHERE NOT EXISTS (SELECT 1 FROM derived p WHERE p.canonical_id = d.canonical_id AND p.role = d.prole AND p.version = d.pversion)
@@ -355,12 +381,12 @@ tree(canonical_id, role, version, depth, dangling) AS (
 
 @REG.query(
     "E4_derivation_tree",
-    with_views("artifact_in", "SELECT canonical_id, role, version, depth, dangling FROM tree", extra=DERIVED_SQL, recursive=True),
+    with_views("artifact_in", "SELECT canonical_id, role, version, depth, dangling, FALSE AS cycle FROM tree", extra=DERIVED_SQL, recursive=True),
 )
 def derivation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version v derives from v // 2; multiples of seven name a parent that is not there."""
+    """Version v derives from v - 1, so chains are deep; multiples of 97 name a parent that is not there."""
     v = F.col("version")
-    parent = F.when(v % 7 == 0, v + 100000).otherwise(F.floor(v / 2).cast("int"))
+    parent = F.when(v % 97 == 0, v + 100000).otherwise(v - 1)
     derived = recorded_artifacts(spark, sf_dir).select(
         "canonical_id", "role", "version", F.when(v > 1, F.col("role")).alias("derived_from_role"),
         F.when(v > 1, parent).alias("derived_from_version"),
@@ -387,7 +413,7 @@ STOP_SQL = ", ".join(f"'{w}'" for w in artifacts.TITLE_STOP_WORDS)
         extra=f"""titles AS (
   SELECT item_id, regexp_split_to_array(strip_accents(text), '[[:space:]-]+') AS names,
          list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: w <> '') AS words
-  FROM (SELECT item_id, replace(text, 'ß', 'ss') AS text FROM benchmark UNION ALL SELECT 1000000 + doc_id, regexp_replace(split_part(text, chr(10), 1), '[^\\x00-\\x7F]', '', 'g') FROM documents)),
+  FROM (SELECT item_id, replace(text, 'ß', 'ss') AS text FROM benchmark UNION ALL SELECT 1000000 + doc_id, replace(split_part(text, chr(10), 1), 'ß', 'ss') FROM documents)),
 stems AS (
   SELECT 'b' || item_id AS canonical_id,
          (SELECT string_agg(upper(w[1]) || lower(w[2:]), '' ORDER BY i) FROM (SELECT regexp_replace(unnest(names[1:2]), '[^A-Za-z0-9]', '', 'g') AS w, unnest(range(2)) AS i))
@@ -397,10 +423,10 @@ stems AS (
     ),
 )
 def bibliographic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles are first lines of documents (their non-ASCII letters removed) and benchmark texts; authors are the first two words."""
+    """Titles are first lines of documents and benchmark texts; authors are the first two words."""
     docs = fx.table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1000000).alias("item_id"),
-        F.regexp_replace(F.substring_index("text", "\n", 1), r"[^\x00-\x7F]", "").alias("text"),
+        F.substring_index("text", "\n", 1).alias("text"),
     )
     titles = fx.table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(docs)
     works = titles.select(

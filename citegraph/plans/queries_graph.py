@@ -181,8 +181,8 @@ def put_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "D3_edges_of_node",
     with_views(
         "edge",
-        """SELECT src_id, dst_id, relation FROM (
-             SELECT e.*, row_number() OVER (PARTITION BY src_id ORDER BY dst_id, relation) AS rn
+        """SELECT src_id, dst_id, relation, total FROM (
+             SELECT e.*, row_number() OVER (PARTITION BY src_id ORDER BY dst_id, relation) AS rn, count(*) OVER (PARTITION BY src_id) AS total
              FROM edge e WHERE src_id IN (SELECT 'p' || p_partkey FROM part)) WHERE rn <= 20""",
     ),
 )
@@ -196,8 +196,8 @@ def edges_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     "D3_edges_of_node_backward",
     with_views(
         "edge",
-        """SELECT src_id, dst_id, relation FROM (
-             SELECT e.*, row_number() OVER (PARTITION BY dst_id ORDER BY src_id, relation) AS rn
+        """SELECT src_id, dst_id, relation, total FROM (
+             SELECT e.*, row_number() OVER (PARTITION BY dst_id ORDER BY src_id, relation) AS rn, count(*) OVER (PARTITION BY dst_id) AS total
              FROM edge e WHERE dst_id IN (SELECT 's' || s_suppkey FROM supplier)) WHERE rn <= 200""",
     ),
 )

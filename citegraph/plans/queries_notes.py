@@ -161,10 +161,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query(
     "G7_warnings",
     _sql(
-        """SELECT slug, 0 AS line, 'no YAML frontmatter block' AS message FROM docs_a WHERE NOT has_frontmatter
-           UNION ALL SELECT slug, heading_line, 'heading without anchor' FROM nodes_a WHERE id IS NULL
-           UNION ALL SELECT slug, line, 'malformed flow map' FROM bullets_a WHERE text = 'broken: {no colon}'
-           UNION ALL SELECT slug, line, 'link line that parses as neither form' FROM bullets_a WHERE text = '[[dangling'"""
+        """SELECT slug, 0 AS line, 'the note has no frontmatter' AS message FROM docs_a WHERE NOT has_frontmatter
+           UNION ALL SELECT slug, heading_line, 'this heading has no anchor' FROM nodes_a WHERE id IS NULL
+           UNION ALL SELECT slug, line, 'the braces hold no readable map' FROM bullets_a WHERE text = 'broken: {no colon}'
+           UNION ALL SELECT slug, line, 'a link line in neither of the two forms' FROM bullets_a WHERE text = '[[dangling'"""
     ),
 )
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,17 +277,17 @@ def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query(
     "G14_lint",
     _sql(
-        """SELECT slug, 0 AS line, 'no YAML frontmatter block' AS warning FROM docs_a WHERE NOT has_frontmatter
-           UNION ALL SELECT slug, 0, 'missing required frontmatter key `doc`' FROM docs_a WHERE stated IS NULL
-           UNION ALL SELECT slug, 0, 'frontmatter doc differs from file stem' FROM docs_a WHERE stated <> slug
-           UNION ALL SELECT d.slug, 0, 'legacy `domain` key present' FROM docs_a d JOIN lines_a l ON l.slug = d.slug AND l.i < d.k AND line LIKE 'domain: %'
-           UNION ALL SELECT slug, 0, 'no catalog reference' FROM docs_a WHERE doc NOT IN (
+        """SELECT slug, 0 AS line, 'the note has no frontmatter' AS warning FROM docs_a WHERE NOT has_frontmatter
+           UNION ALL SELECT slug, 0, 'the frontmatter lacks `doc`' FROM docs_a WHERE stated IS NULL
+           UNION ALL SELECT slug, 0, 'the note names another document than its file' FROM docs_a WHERE stated <> slug
+           UNION ALL SELECT d.slug, 0, 'the old key `domain` is still there' FROM docs_a d JOIN lines_a l ON l.slug = d.slug AND l.i < d.k AND line LIKE 'domain: %'
+           UNION ALL SELECT slug, 0, 'the note refers to no catalog work' FROM docs_a WHERE doc NOT IN (
              SELECT b.doc FROM ends_a e JOIN by_id_a b ON b.id = e.id WHERE target NOT LIKE 'node:%')
-           UNION ALL SELECT DISTINCT slug, 0, 'unresolved temporary anchor' FROM nodes_a WHERE id LIKE 't-%'
-           UNION ALL SELECT slug, 0, 'no YAML frontmatter block' FROM docs_a WHERE NOT has_frontmatter
-           UNION ALL SELECT slug, heading_line, 'heading without anchor' FROM nodes_a WHERE id IS NULL
-           UNION ALL SELECT slug, line, 'malformed flow map' FROM bullets_a WHERE text = 'broken: {no colon}'
-           UNION ALL SELECT slug, line, 'link line that parses as neither form' FROM bullets_a WHERE text = '[[dangling'"""
+           UNION ALL SELECT DISTINCT slug, 0, 'a temporary anchor is left' FROM nodes_a WHERE id LIKE 't-%'
+           UNION ALL SELECT slug, 0, 'the note has no frontmatter' FROM docs_a WHERE NOT has_frontmatter
+           UNION ALL SELECT slug, heading_line, 'this heading has no anchor' FROM nodes_a WHERE id IS NULL
+           UNION ALL SELECT slug, line, 'the braces hold no readable map' FROM bullets_a WHERE text = 'broken: {no colon}'
+           UNION ALL SELECT slug, line, 'a link line in neither of the two forms' FROM bullets_a WHERE text = '[[dangling'"""
     ),
 )
 def lint(spark: SparkSession, sf_dir: str) -> DataFrame:

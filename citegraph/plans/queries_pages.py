@@ -372,14 +372,19 @@ def locate_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     "F17_locate_quote",
     with_views(
         "page_table",
-        """SELECT r.turn AS request_id, p.doc, p.page_index FROM page_table p
-           JOIN (SELECT conv_id, turn, regexp_extract(text, '^\\S+ \\S+') AS needle FROM conversations) r
-             ON r.conv_id = p.doc AND contains(p.text, r.needle)""",
+        """SELECT request_id, doc, CASE WHEN needle = '' THEN 'empty_quote' WHEN page_index IS NULL THEN 'quote_not_found' ELSE 'found' END AS status, page_index
+           FROM (SELECT DISTINCT r.request_id, r.doc, r.needle, p.page_index FROM requests r
+                 LEFT JOIN page_table p ON r.doc = p.doc AND r.needle <> '' AND contains(p.text, r.needle))""",
+        extra="""requests AS (
+  SELECT turn AS request_id, conv_id AS doc, regexp_extract(text, '^\\S+ \\S+') AS needle FROM conversations
+  UNION ALL SELECT 100000 + turn, conv_id, CASE WHEN turn % 2 = 0 THEN 'q' ELSE 'no such words' END FROM conversations)""",
     ),
 )
 def locate_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of every turn are looked for on all pages of its conversation."""
-    asked = fx.table(spark, sf_dir, "conversations").select(
-        F.col("turn").alias("request_id"), F.col("conv_id").alias("doc"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("needle")
+    """The first two words of every turn are looked for on all pages of its conversation, and so are a letter and words that are nowhere."""
+    turns = fx.table(spark, sf_dir, "conversations")
+    asked = turns.select(F.col("turn").alias("request_id"), F.col("conv_id").alias("doc"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("needle"))
+    other = turns.select(
+        (F.col("turn") + 100000).alias("request_id"), F.col("conv_id").alias("doc"), F.when(F.col("turn") % 2 == 0, "q").otherwise("no such words").alias("needle")
     )
-    return pages.locate_quotes(asked, fx.page_table(spark, sf_dir))
+    return pages.locate_quotes(asked.unionByName(other), fx.page_table(spark, sf_dir))

@@ -12,12 +12,24 @@ EDGE_INPUT = ["src", "dst", "relation", "source", "attrs", "fetched_at"]
 @dataclass
 class Emission:
     """records (record_id, source, kind, aliases ARRAY<STRUCT<scheme, value>>, attrs, fetched_at);
-    edges (src, dst, relation, source, attrs, fetched_at); skipped (reason, count)."""
+    edges (src, dst, relation, source, attrs, fetched_at); skipped (reason, count).
+
+    Both also get `seq`, the order in which equal claims count as written: a hash of the row's content
+    where the source states no order, so a retried task numbers its rows alike.
+    """
 
     records: DataFrame
     edges: DataFrame
     skipped: DataFrame
 
+    def __post_init__(self) -> None:
+        self.records, self.edges = with_seq(self.records), with_seq(self.edges)
+
+
+def with_seq(rows: DataFrame) -> DataFrame:
+    """`rows` with a `seq`; one that is there stays."""
+    return rows if "seq" in rows.columns else rows.withColumn("seq", F.xxhash64(F.to_json(F.struct(*rows.columns))))
+
 
 def present(entries: list[Column]) -> Column:
     """The aliases that have a value, in the order given."""

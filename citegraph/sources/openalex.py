@@ -169,7 +169,7 @@ SUMMARY_SCHEMA = (
 
 
 def summarize(lines: DataFrame) -> DataFrame:
-    """(id, title, label, year, authors, venue, cited_by_count) of works; `label` is the first of title, display_name, name."""
+    """(id, title, label, year, authors, venue, cited_by_count) of works; `label` is the best name the record gives."""
     r = F.from_json("value", SUMMARY_SCHEMA)
     names = F.transform("r.authorships", lambda a: a["author"]["display_name"])
     return lines.select(r.alias("r")).select(

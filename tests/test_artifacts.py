@@ -25,6 +25,15 @@ def test_tree_orders_children_and_marks_dangling(spark):
     ]
 
 
+def test_deep_chains_and_cycles(spark):
+    chain = [("c", "step", k, "step" if k else None, k - 1 if k else None) for k in range(1000)]
+    ring = [("r", "a", 1, "b", 1), ("r", "b", 1, "a", 1), ("r", "c", 1, "b", 1)]
+    tree = artifacts.derivation_tree(spark.createDataFrame(chain + ring, "canonical_id string, role string, version int, derived_from_role string, derived_from_version int"))
+    depth = {r["version"]: (r["depth"], len(r["path"]), r["cycle"]) for r in tree.where("canonical_id = 'c'").collect()}
+    assert depth == {k: (k, k + 1, False) for k in range(1000)}
+    assert rows(tree.where("canonical_id = 'r'"), "role", "depth", "cycle") == [("a", None, True), ("b", None, True), ("c", None, True)]
+
+
 def test_outcomes_and_sniffing(spark, tmp_path):
     (tmp_path / "n" / "fulltext").mkdir(parents=True)
     (tmp_path / "n" / "fulltext" / "v1").write_bytes(b"%PDF-1.4 ...")
@@ -42,9 +51,11 @@ def test_outcomes_and_sniffing(spark, tmp_path):
 def test_bibliographic_keys(spark):
     works = spark.createDataFrame(
         [("a", "José García-Márquez", 2, 1999, "The State of the Art: a Survey"), ("b", "José García-Márquez", 2, 1999, "State of Art – survey"),
-         ("c", "Müller", 1, 2001, "Of the"), ("d", "Ødegård", 1, 2002, "«»")],
+         ("c", "Müller", 1, 2001, "Of the"), ("d", "Ødegård", 1, 2002, "«»"), ("e", "Юрий Жуков", 1, 1980, "О числах"), ("f", "Ἀριστοτέλης Θωμάς", 1, None, "Λόγος"),
+         ("g", "山田 太郎", 1, 1990, "数の本"), ("h", None, 1, None, None)],
         "canonical_id string, first_author string, n_authors int, year int, title string",
     )
     assert rows(artifacts.bibliographic_keys(works)) == [
-        ("a", "JoseGarciaMarquezEtAl1999-state-art-survey"), ("b", "JoseGarciaMarquezEtAl1999-state-art-surveyb"), ("c", "Muller2001-of"), ("d", "Odegard2002-untitled")
+        ("a", "JoseGarciaMarquezEtAl1999-state-art-survey"), ("b", "JoseGarciaMarquezEtAl1999-state-art-surveyb"), ("c", "Muller2001-of"), ("d", "Odegard2002-untitled"),
+        ("e", "YuriiZhukov1980-o-chislakh"), ("f", "ἈristotelisThomasnd-logos"), ("g", "山田太郎1990-数の本"), ("h", "Anonnd-untitled")
     ]

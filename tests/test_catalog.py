@@ -23,6 +23,16 @@ def test_newest_claim_wins_and_ties_go_to_the_smaller_name(spark):
     assert rows(got, "key", "value", "source") == [("title", '"new"', "a"), ("venue", '"c"', "c"), ("year", "null", "c")]
 
 
+
+def test_repeated_keys_and_broken_claims(spark):
+    given = claims(spark, ("n", "a", '{"a":1,"a":2,"title":"x","title":"Kept"}', "2024"), ("n", "b", '{"a":', "2024"), ("n", "c", None, "2024"))
+    assert rows(catalog.assertion_fields(given), "key", "value") == [("a", "2"), ("title", '"Kept"')]
+    assert rows(catalog.assertion_rejects(given), "source") == [("b",)]
+    assert rows(catalog.reject_counts(given)) == [("b", 1)]
+    nodes = spark.createDataFrame([("n", "work", None)], NODE)
+    assert rows(catalog.search_works(nodes, given, title="kept")) == [("n",)]
+
+
 def test_times_compare_as_text_unless_cast(spark):
     data = claims(spark, ("n", "cli", '{"t":1}', "2024-01-01T00:00:00Z"), ("n", "ui", '{"t":2}', "2024-01-01T00:00:00.123Z"))
     assert rows(catalog.merge_assertions(data), "source") == [("cli",)]
@@ -81,7 +91,7 @@ def test_filter_keys_are_checked(spark):
     assert rows(catalog.filter_works(works, ["language:de|fr", "concepts.id:c2"]), "canonical_id") == [("w",)]
     with pytest.raises(ValueError, match="nope, also"):
         catalog.filter_works(works, ["nope:1", "language:de", "also:2"])
-    with pytest.raises(ValueError, match="key:value"):
+    with pytest.raises(ValueError, match="no filter"):
         catalog.filter_works(works, ["language"])
 
 

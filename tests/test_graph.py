@@ -81,5 +81,5 @@ def test_put_edges_makes_stubs(spark):
 
 def test_edges_of_a_node_are_paged_by_other_end(spark, hub):
     got = graph.edges_of(hub, seeds(spark, "a", "h"), "forward", 1)
-    assert rows(got) == [("a", "b", "cites")]
+    assert rows(got) == [("a", "b", "cites", 2)]
     assert graph.edges_of(hub, seeds(spark, "h"), "backward", None).count() == 3

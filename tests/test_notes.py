@@ -7,30 +7,29 @@ from citegraph.sources.notes_files import read_notes
 from conftest import rows
 
 NOTE = """---
-doc: sample
-schema: research
+schema: log
+doc: river-log
 ---
 
-# Sample note
-
-## First work – with a dash and [[openalex:W9]] inside ^r-aaa1
-- tags: #landmark #key
-- reading: {role: start-here, why: 'begin here, then go on'}
-- remark: a long remark that
-  goes on here
-- catalog [[openalex:W1]] {why: 'cites, directly'}
-
-## Second work ^r-bbb2
-- contradicts [[^r-aaa1]] {why: scope}
-- [[openalex:W1]] contradicts [[^r-bbb2]] {why: "method, again"}
-
-## Nothing anchors this
-- key: plain value
-
-## Fourth ^r-ccc3
-- siblings [[another-note]]
-- broken: {no colon here}
-- [[dangling
+Prose before the first heading belongs to no node.
+
+## Gauge at the weir ^g-77
+- level: 3.2 m
+- source [[crossref:10.5/ab]]
+- [[field-diary]] mentions [[^g-77]] {page: 12}
+
+## Open question
+- follows [[^g-77]] {since: 'spring, early'}
+- status: {unsure}
+
+## Delta survey (draft), see [[openalex:W88]] ^k-5
+- summary: two lines
+  make one
+- compares [[openalex:W31]] {how: "by eye, twice"}
+- reading: {why: 'later, if at all', role: core}
+- Bad [[x
+- tags: #hydro #delta
+- catalog [[doi:10.7/q]]
 """
 
 
@@ -40,32 +39,30 @@ def files(spark, **texts):
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return notes.lift_notes(files(spark, sample=NOTE))
+    return notes.lift_notes(files(spark, river=NOTE))
 
 
 def test_nodes_labels_and_properties(graph):
-    assert rows(graph.nodes, "ord", "id", "heading_line") == [(0, "r-aaa1", 8), (1, "r-bbb2", 15), (2, None, 19), (3, "r-ccc3", 22)]
-    assert rows(graph.labels, "id", "label") == [("r-aaa1", "key"), ("r-aaa1", "landmark")]
+    assert rows(graph.nodes, "ord", "id", "heading_line") == [(0, "g-77", 8), (1, None, 13), (2, "k-5", 17)]
+    assert rows(graph.labels, "id", "label") == [("k-5", "delta"), ("k-5", "hydro")]
     stated = {(r["ord"], r["key"]): r["value"] for r in graph.properties.collect()}
-    assert stated[0, "title"] == "First work – with a dash and [[openalex:W9]] inside"
-    assert stated[0, "reading"] == '{"role":"start-here","why":"begin here, then go on"}'
-    assert stated[0, "remark"] == "a long remark that goes on here"
-    assert stated[2, "key"] == "plain value" and stated[3, "broken"] == "{no colon here}"
+    assert stated[2, "title"] == "Delta survey (draft), see [[openalex:W88]]"
+    assert stated[0, "level"] == "3.2 m" and stated[2, "summary"] == "two lines make one"
+    assert stated[2, "reading"] == '{"role":"core","why":"later, if at all"}'
+    assert stated[1, "status"] == "{unsure}"
 
 
 def test_links_and_warnings(graph):
     shown = graph.links.select("recorded_in", g.endpoint_text(F.col("source")).alias("s"), "kind", g.endpoint_text(F.col("target")).alias("t"))
     assert rows(shown) == [
-        ("r-aaa1", "node:r-aaa1", "catalog", "openalex:W1"), ("r-bbb2", "node:r-bbb2", "contradicts", "node:r-aaa1"),
-        ("r-bbb2", "openalex:W1", "contradicts", "node:r-bbb2"), ("r-ccc3", "node:r-ccc3", "siblings", "node:doc:another-note"),
+        (None, "node:", "follows", "node:g-77"), ("g-77", "node:doc:field-diary", "mentions", "node:g-77"), ("g-77", "node:g-77", "source", "crossref:10.5/ab"),
+        ("k-5", "node:k-5", "catalog", "doi:10.7/q"), ("k-5", "node:k-5", "compares", "openalex:W31"),
     ]
-    assert sorted(e["value"] for r in graph.links.collect() for e in r["entries"]) == ["cites, directly", "method, again", "scope"]
-    assert rows(graph.warnings, "line", "message") == sorted(
-        [(19, notes.NO_ANCHOR), (24, notes.MALFORMED_MAP), (25, notes.NEITHER_FORM)], key=str
-    )
-    assert rows(notes.cross_references(graph)) == [("sample", "another-note", False)]
-    assert rows(notes.work_index(graph)) == [("openalex:W1", "sample")]
-    assert rows(notes.reading_list(graph), "rank", "role", "why", "work_id") == [(0, "start-here", "begin here, then go on", "openalex:W1")]
+    assert sorted(e["value"] for r in graph.links.collect() for e in r["entries"]) == ["12", "by eye, twice", "spring, early"]
+    assert rows(graph.warnings, "line", "message") == sorted([(13, notes.NO_ANCHOR), (15, notes.MALFORMED_MAP), (22, notes.NEITHER_FORM)], key=str)
+    assert rows(notes.cross_references(graph)) == [("river-log", "field-diary", False)]
+    assert rows(notes.work_index(graph)) == [("crossref:10.5/ab", "river-log"), ("doi:10.7/q", "river-log"), ("openalex:W31", "river-log")]
+    assert rows(notes.reading_list(graph), "rank", "role", "why", "work_id") == [(1, "core", "later, if at all", "doi:10.7/q")]
 
 
 @pytest.mark.parametrize(
@@ -127,7 +124,7 @@ def test_lint(spark):
     given = files(spark, x="---\ndoc: y\ndomain: old\n---\n## A ^t-1\n", ok="---\ndoc: ok\n---\n## A ^r-1\n- catalog [[doi:1]]\n")
     found = rows(notes.lint(given, notes.lift_notes(given)), "slug", "warning")
     assert [w for s, w in found if s == "x"] == sorted(
-        ["frontmatter doc differs from file stem", "legacy `domain` key present", "no catalog reference", "unresolved temporary anchor"]
+        ["the note names another document than its file", "the old key `domain` is still there", "the note refers to no catalog work", "a temporary anchor is left"]
     )
     assert [w for s, w in found if s == "ok"] == []
 

@@ -133,6 +133,8 @@ def test_locators(spark):
         (1, "found", 2, 4, None, None), (2, "found", 2, 3, None, None), (3, "found", 4, 4, None, None), (4, "partial", 4, 5, 6, 7),
         (5, "found", 4, 5, None, None), (6, "section_not_found", None, None, None, None),
     ]
-    quotes = spark.createDataFrame([(1, "d", "eta"), (2, "d", "beta"), (3, "d", "nowhere")], "request_id int, doc string, needle string")
-    assert rows(pages.locate_quotes(quotes, table), "request_id", "page_index") == [(1, 3), (1, 4), (2, 4)]
+    quotes = spark.createDataFrame([(1, "d", "eta"), (2, "d", "beta"), (3, "d", "nowhere"), (4, "d", ""), (5, "d", "Be"), (6, "e", "beta")], "request_id int, doc string, needle string")
+    assert rows(pages.locate_quotes(quotes, table), "request_id", "status", "page_index") == [
+        (1, "found", 3), (1, "found", 4), (2, "found", 4), (3, "quote_not_found", None), (4, "empty_quote", None), (5, "found", 3), (6, "quote_not_found", None)
+    ]
     assert rows(pages.read_span(pages.locate_printed(asked, table), table), "page_index", "text") == [(2, "alpha"), (3, "Beta"), (4, "beta")]

@@ -48,12 +48,45 @@ def test_openalex_shapes(spark):
 
 def test_two_providers_meet_at_a_doi(spark):
     paper = {"paperId": "p1", "externalIds": {"DOI": "10.9999/abc.1", "CorpusId": 5}, "abstract": "long", "title": "On measuring"}
-    records = openalex.parse(lines(spark, WORK), NOW).records.unionByName(semanticscholar.paper_records(lines(spark, paper), NOW))
-    long = emission.record_aliases(records.withColumn("seq", F.lit(1)))
+    records = openalex.parse(lines(spark, WORK), NOW).records.drop("seq").unionByName(semanticscholar.paper_records(lines(spark, paper), NOW))
+    long = emission.record_aliases(emission.with_seq(records))
     assert len({r["canonical_id"] for r in identity.resolve_identity(long).record_nodes.collect()}) == 1
     assert "abstract" not in json.loads(semanticscholar.curate(lines(spark, paper)).first()["value"])
 
 
+
+def empty_store(spark):
+    from citegraph.operators import store_sync
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    return store_sync.Store(
+        none("canonical_id string, kind string, merged_into string"), none("scheme string, value string, canonical_id string"),
+        none("canonical_id string, source string, attrs string, fetched_at string"),
+        none("src_id string, dst_id string, relation string, source string, fetched_at string, attrs string"),
+        none("canonical_id string, role string, version int, is_current boolean, derived_from_role string, derived_from_version int"),
+    )
+
+
+def test_an_emission_is_written_and_written_again(spark):
+    from citegraph.operators import store_sync
+
+    tables = ("nodes", "aliases", "assertions", "edge_assertions")
+    read = lambda store: {t: sorted(map(str, rows(getattr(store, t)))) for t in tables}
+    given = openalex.parse(lines(spark, WORK), NOW)
+    first = store_sync.apply_emission(empty_store(spark), given)
+    assert rows(first.store.assertions, "source") == [("openalex",)]
+    assert first.store.edge_assertions.count() == len(WORK["referenced_works"])
+    assert {r["canonical_id"] for r in first.store.aliases.collect()} <= {r["canonical_id"] for r in first.store.nodes.collect()}
+    again = store_sync.apply_emission(first.store, given)
+    assert read(again.store) == read(first.store)
+    # A paper of another provider with the same DOI adds a claim to the node that is there.
+    paper = {"paperId": "p1", "externalIds": {"DOI": "10.9999/abc.1"}, "title": "On measuring"}
+    records = semanticscholar.paper_records(lines(spark, paper), NOW)
+    more = store_sync.apply_emission(first.store, emission.Emission(records, given.edges, given.skipped))
+    assert {r["source"] for r in more.store.assertions.collect()} == {"openalex", "semanticscholar"} and len({r["canonical_id"] for r in more.store.assertions.collect()}) == 1
+    assert more.store.nodes.count() == first.store.nodes.count()
+
+
 def test_citation_pages_quarantine_nameless_papers(spark):
     page = {"data": [{"citingPaper": {"paperId": "c1", "externalIds": {"DOI": "10.1/x"}}}, {"citingPaper": {"paperId": "c2"}}, {"citingPaper": {"paperId": None}}]}
     pages = spark.createDataFrame([(json.dumps({"paperId": "seed"}), json.dumps(page))], "seed string, value string")
