@@ -238,4 +238,4 @@ def parse_conversations(conversations: DataFrame) -> DataFrame:
     learn = (F.crc32(F.col("conv").cast("binary")) % 4 != 2) & F.col("role").isin(*ROLES)
     chain = fit(cut_lineage(lines.where(learn).select("conv", "at", "code", state.cast("int").alias("state"))))
     out = turns(lines, chain)
-    return out.select(F.substring("conv", 2, 1 << 30).cast("long").alias("conv_id"), "turn", "role", "text", "rendered")
+    return out.select(F.substring("conv", 2, 1 << 30).try_cast("long").alias("conv_id"), "turn", "role", "text", "rendered")

@@ -106,6 +106,11 @@ class LabelModel:
     chance: np.ndarray  # (2, voters)
     weight: np.ndarray
 
+    def accuracy(self) -> np.ndarray:
+        """How often a vote against a text is right, per voter."""
+        hit = self.chance[1] * self.prior
+        return hit / (hit + self.chance[0] * (1 - self.prior))
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         yes = np.log(self.chance[1] / self.chance[0])
         return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (yes * self.weight))
