@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citegraph.functions import id_columns
+from citegraph.operators import store_sync
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
@@ -100,10 +101,43 @@ def openalex_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = _of_entity(lines, "works")
     answers = works.select("value", F.get_json_object("value", "$.referenced_works[0]").alias("cited"))
     incoming = openalex.cites_edges(openalex.citing_pairs(answers), NOW)
-    edges = openalex.parse(lines, NOW).edges.unionByName(incoming)
+    edges = openalex.parse(lines, NOW).edges.unionByName(emission.with_seq(incoming))
     return edges.select(F.col("src.value").alias("src"), F.col("dst.value").alias("dst"))
 
 
+def _empty_store(spark: SparkSession) -> store_sync.Store:
+    none = lambda schema: spark.createDataFrame([], schema)
+    return store_sync.Store(
+        none("canonical_id string, kind string, merged_into string"), none("scheme string, value string, canonical_id string"),
+        none("canonical_id string, source string, attrs string, fetched_at string"),
+        none("src_id string, dst_id string, relation string, source string, fetched_at string, attrs string"),
+        none("canonical_id string, role string, version int, is_current boolean, derived_from_role string, derived_from_version int"),
+    )
+
+
+@REG.query(
+    "B1_apply_emission",
+    """WITH refs AS (SELECT DISTINCT p_partkey AS src, unnest([p_size, p_partkey + 1]) AS dst FROM part),
+            stubs AS (SELECT DISTINCT dst FROM refs WHERE dst NOT IN (SELECT p_partkey FROM part)),
+            venues AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer)
+       SELECT 'node work' AS metric, (SELECT count(*) FROM part) + (SELECT count(*) FROM stubs) AS n
+       UNION ALL SELECT 'node author', count(*) FROM supplier UNION ALL SELECT 'node venue', n FROM venues UNION ALL SELECT 'node topic', count(*) FROM region
+       UNION ALL SELECT 'aliases', 3 * (SELECT count(*) FROM part) + (SELECT count(*) FROM stubs) + (SELECT count(*) + count(*) FILTER (s_suppkey % 3 = 0) FROM supplier)
+                 + (SELECT 3 * count(*) + count(DISTINCT c_nationkey) FROM customer) + (SELECT count(*) FROM region)
+       UNION ALL SELECT 'assertions', (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT n FROM venues) + (SELECT count(*) FROM region)
+       UNION ALL SELECT 'edges', count(*) FROM refs""",
+)
+def apply_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider's records and edges are written into an empty store, twice; sources that share an ISSN become one venue."""
+    given = openalex.parse(_openalex_lines(spark, sf_dir), NOW)
+    once = store_sync.apply_emission(_empty_store(spark), given).store
+    store = store_sync.apply_emission(once, given).store
+    kinds = store.live_nodes().groupBy(F.concat(F.lit("node "), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    for name, table in (("aliases", store.aliases), ("assertions", store.assertions), ("edges", store.edges())):
+        kinds = kinds.unionByName(table.agg(F.lit(name).alias("metric"), F.count(F.lit(1)).alias("n")))
+    return kinds
+
+
 def _paper(id_: Column, doi: Column, extra: Column | None = None) -> Column:
     """A paper's JSON; a null id or DOI leaves the field out."""
     ids = F.concat(F.lit('"externalIds":{'), F.coalesce(F.concat(F.lit('"DOI":"'), doi, F.lit('",')), F.lit("")), F.lit('"CorpusId":7}'))
