@@ -35,11 +35,11 @@ from citegraph.session import cut_lineage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-#: All registers give four bits each to a sketch; the first BANDS * ROWS make the band keys.
+#: All registers give one bit each to a sketch (eight longs: a longer comparison is no longer compiled); the first BANDS * ROWS make the band keys.
 REGISTERS = 512
-SKETCH = REGISTERS * 4 // 64
+SKETCH = REGISTERS // 64
 #: Registers on which sketches of a pair at the threshold agree: the mean less three and a half standard deviations.
-_SAME = THRESHOLD + (1 - THRESHOLD) / 16
+_SAME = THRESHOLD + (1 - THRESHOLD) / 2
 AGREEING = int(REGISTERS * _SAME - 3.5 * (REGISTERS * _SAME * (1 - _SAME)) ** 0.5)
 _U = np.uint64
 
@@ -121,8 +121,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(key + winner[:, :, r])
             digests = [hashlib.blake2b(words.hashes[words.of(i)].tobytes(), digest_size=16).digest() if counts[i] else None for i in range(n)]
             band = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            four = (mix(every) & _U(15)).astype(np.uint8)
-            bits = (four[:, 0::2] << 4 | four[:, 1::2]).reshape(-1)
+            bits = np.packbits((mix(every) & _U(1)).astype(np.uint8), axis=1).reshape(-1)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), band, sketch], ["doc_id", "digest", "bands", "sketch"])
 
@@ -186,13 +185,8 @@ def _centres(bucket: DataFrame, n: int) -> DataFrame:
 
 
 def _agreement(a: str, b: str) -> Column:
-    """On how many registers two sketches agree: four-bit groups without a difference."""
-    out = F.lit(REGISTERS)
-    for i in range(SKETCH):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        out = out - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    return out
+    """On how many bits two sketches agree."""
+    return sum((F.lit(64) - F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
 
 
 def _leaders(links: DataFrame, meets: DataFrame) -> DataFrame:
@@ -217,11 +211,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     sig = cut_lineage(signatures(docs, id_col, text))
     copies = cut_lineage(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     # Band keys once per different text; equal (digest, doc_id) rows are repeated rows.
-    reps = sig.join(copies, "digest").where("doc_id = rep").select(F.col("rep").alias("doc"), "sketch", F.explode("bands").alias("key")).distinct()
-    met = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut_lineage(reps.join(met, "key"))
+    own = sig.join(copies, "digest").where("doc_id = rep").select(F.col("rep").alias("doc"), "bands", "sketch").dropDuplicates(["doc"])
+    keys = own.select("doc", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = cut_lineage(keys.join(met, "key"))
     meets = cut_lineage(buckets.groupBy("doc").agg(F.sum("n").alias("meets")))
-    buckets = cut_lineage(buckets.drop("n").join(meets, "doc").withColumn("done", F.lit(False)))
+    # Sketches and bands join only those that meet any other.
+    buckets = cut_lineage(buckets.drop("n").join(own.join(meets, "doc"), "doc").withColumn("done", F.lit(False)))
     # A document whose rows share its id but not their text is one vertex: link the texts of an id.
     same_id = sig.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
 
@@ -231,15 +227,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     links = compared = None
     live, n = buckets.withColumn("cls", F.col("doc")), 1
     while True:
-        picked = cut_lineage(_centres(live, n).select("key", F.col("doc").alias("centre"), F.col("cls").alias("centre_cls"), F.col("sketch").alias("centre_sketch")))
+        picked = cut_lineage(_centres(live, n).select("key", F.col("doc").alias("centre"), F.col("cls").alias("centre_cls"), F.col("sketch").alias("centre_sketch"), F.col("bands").alias("centre_bands")))
         if picked.isEmpty():
             break
-        pairs = (
-            live.where("NOT done").join(picked, "key")
-            .where((F.col("cls") != F.col("centre_cls")) & (_agreement("sketch", "centre_sketch") >= AGREEING))
-            .select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
-            .distinct()
-        )
+        near = live.where("NOT done").join(picked, "key").where((F.col("cls") != F.col("centre_cls")) & (_agreement("sketch", "centre_sketch") >= AGREEING))
+        if n > 1:
+            # Most links are known by now. A pair that meets in several buckets is left to the one of the smallest key,
+            # which goes on until it has compared all its pairs or holds one class.
+            near = near.where(F.array_min(F.array_intersect("bands", "centre_bands")) == F.col("key"))
+        pairs = near.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).where("a <> b").distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_shingles")) for c in ("a", "b"))
