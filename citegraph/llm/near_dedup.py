@@ -96,6 +96,15 @@ def prob_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     return winner.reshape(n, REGISTERS)
 
 
+def sketch_bits(winner: np.ndarray) -> np.ndarray:
+    """One bit of each register, packed: a hash of the winner and the register's number.
+
+    Of the winner alone it would be one bit for each shingle, and a text of few shingles would have few independent bits.
+    """
+    register = mix(np.arange(1, REGISTERS + 1, dtype=_U))
+    return np.packbits((mix(winner + register[None]) & _U(1)).astype(np.uint8), axis=1)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -121,7 +130,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(key + winner[:, :, r])
             digests = [hashlib.blake2b(words.hashes[words.of(i)].tobytes(), digest_size=16).digest() if counts[i] else None for i in range(n)]
             band = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            bits = np.packbits((mix(every) & _U(1)).astype(np.uint8), axis=1).reshape(-1)
+            bits = sketch_bits(every).reshape(-1)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), band, sketch], ["doc_id", "digest", "bands", "sketch"])
 

@@ -87,3 +87,28 @@ def test_a_large_group_makes_few_pairs(spark):
         edited[k % 150] = f"other{k}"
         rows.append((k, " ".join(edited)))
     assert {r["class_id"] for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def short_pairs():
+    """Pairs of short texts and of texts of repeated lines, at similarity 0.8 or more."""
+    pairs = []
+    for n in range(6, 31):
+        words = [f"w{i}" for i in range(n)]
+        for k in (1, 2):
+            pairs += [(words, words[:-k] + [f"x{i}" for i in range(k)]), (words, words + [f"x{i}" for i in range(k)])]
+        pairs += [(words * m, words * m + words[: n // 2]) for m in (3, 10)] + [(words * m, words * m + ["x"]) for m in (3, 10)]
+    return [p for p in pairs if similarity(*(shingles(" ".join(t)) for t in p)) >= nd.THRESHOLD]
+
+
+def test_sketches_of_short_and_repetitive_texts_agree():
+    rng, trials, bad, total = np.random.default_rng(11), 100, 0, 0
+    for pair in short_pairs():
+        sets = [shingles(" ".join(t)) for t in pair]
+        keys = sorted(set(sets[0]) | set(sets[1]))
+        own, place, weight = (np.array(x) for x in zip(*((k, keys.index(g), float(c)) for k, s in enumerate(sets) for g, c in s.items())))
+        hashes = rng.integers(1, 1 << 63, (trials, len(keys)), dtype=np.uint64)
+        owner = (np.arange(trials)[:, None] * 2 + own[None]).reshape(-1)
+        bits = np.unpackbits(nd.sketch_bits(nd.prob_minhash(owner, hashes[:, place].reshape(-1), np.tile(weight, trials), 2 * trials)), axis=1)
+        bad += int(((bits[::2] == bits[1::2]).sum(axis=1) < nd.AGREEING).sum())
+        total += trials
+    assert total >= 10_000 and bad <= total // 1000
