@@ -162,6 +162,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leaked item, all columns kept; rows without an id are kept."""
-    gone = leaks(docs, items, id_col, text).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(fresh_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+    """The rows without a leaked item, all columns kept, whatever their id. The rows are written with numbers, by which they go."""
+    row = fresh_name(docs, "row")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = leaks(rows, items, row, text).select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").drop(row)

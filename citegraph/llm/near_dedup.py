@@ -14,9 +14,12 @@ pair of a bucket either shares a class or was compared. A comparison is exact; p
 by more than chance allows at the threshold are spared it. So the only links lost are those that no band proposes
 (one in 1,500 at similarity 0.8, fewer above) or whose sketches mislead (one in 4,000).
 
-Defined cases: rows sharing a doc_id are one document; exact copies (equal word sequences) are one
-vertex; a null text or one without words is in a class of its own; a null doc_id has a null class unless it is a copy of
-a document with an id; an empty table gives an empty result; extra columns are ignored.
+Vertices are different texts (equal word sequences), named by the number of one of their rows.
+
+Defined cases: rows are kept or dropped by row, one of each class of texts, with the smallest doc_id (a row without an id
+only if the class has none); rows sharing a doc_id are of one class, but of its texts that are no copies each keeps a row; a
+null text or one without words is a copy only of such rows of its doc_id; a null doc_id is compared like any other, and its
+class is null if no document of it has an id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from citegraph.llm.common import bitmap_bits, bitmap_of, fresh_name, in_bitmap, mix, pieces, words_of
@@ -105,6 +109,15 @@ def sketch_bits(winner: np.ndarray) -> np.ndarray:
     return np.packbits((mix(winner + register[None]) & _U(1)).astype(np.uint8), axis=1)
 
 
+def _digest(words, row: int) -> bytes:
+    return hashlib.blake2b(words.hashes[words.of(row)].tobytes(), digest_size=16).digest()
+
+
+def _blank_digest(doc_id: int | None) -> bytes | None:
+    """Rows without words are copies where they share an id."""
+    return None if doc_id is None else hashlib.blake2b(b"blank" + str(doc_id).encode(), digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -128,28 +141,43 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.zeros((n, BANDS), _U) + mix(np.arange(1, BANDS + 1, dtype=_U))
             for r in range(ROWS):
                 key = mix(key + winner[:, :, r])
-            digests = [hashlib.blake2b(words.hashes[words.of(i)].tobytes(), digest_size=16).digest() if counts[i] else None for i in range(n)]
+            ids = part.column("doc_id").to_pylist()
+            digests = [_digest(words, i) if counts[i] else _blank_digest(ids[i]) for i in range(n)]
             band = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            blank = pa.array(counts == 0)
+            band = pc.if_else(blank, pa.scalar(None, band.type), band)
             bits = sketch_bits(every).reshape(-1)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), band, sketch], ["doc_id", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), band, sketch], ["row", "doc_id", "digest", "bands", "sketch"]
+            )
 
 
 def _shingle_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, shingles) of the `n` documents in `wanted`. A Bloom filter of their ids spares the other texts; texts are not shuffled."""
+    """(doc, shingles) of the `n` texts in `wanted` (doc, doc_id, digest). A Bloom filter of their ids spares the other texts; texts are not shuffled."""
     bits = bitmap_bits(n)
-    holder = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc", bits))
+    holder = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc_id", bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(batch.column("doc").to_numpy(zero_copy_only=False), holder.value, bits)))
+            ids = batch.column("doc_id")
+            may = in_bitmap(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), holder.value, bits)
+            batch = batch.filter(pa.array(may | pc.is_null(ids).to_numpy(zero_copy_only=False)))
             for part in pieces(batch, "text"):
                 words = words_of(part.column("text"))
                 grams = words.grams(SHINGLE)
-                code = [np.sort(shingles_of(words, i, grams)).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(code, pa.binary())], ["doc", "shingles"])
+                digests, code = [], []
+                for i in np.flatnonzero(np.diff(words.first)):
+                    digest = _digest(words, i)
+                    if digest not in seen:  # a task gives each text once
+                        seen.add(digest)
+                        digests.append(digest)
+                        code.append(np.sort(shingles_of(words, i, grams)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(code, pa.binary())], ["digest", "shingles"])
 
-    return docs.mapInArrow(rows, "doc long, shingles binary").join(wanted, "doc", "left_semi")
+    found = docs.mapInArrow(rows, "digest binary, shingles binary").join(wanted.select("doc", "digest"), "digest")
+    return found.select("doc", "shingles").dropDuplicates(["doc"])
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -178,10 +206,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, a digest of its words (null without words), the band keys and the bit sketch."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, digest binary, bands array<long>, sketch array<long>")
+def signatures(docs: DataFrame, row: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: its number, doc_id, a digest of its words (without words one of its doc_id, or null), the band keys (null without words) and the bit sketch."""
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_signatures, "row long, doc_id long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _centres(bucket: DataFrame, n: int) -> DataFrame:
@@ -215,23 +243,24 @@ def _leaders(links: DataFrame, meets: DataFrame) -> DataFrame:
     return up
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, is_kept) per row of `docs`: the class is named by its smallest doc_id, which is the one kept."""
-    sig = cut_lineage(signatures(docs, id_col, text))
-    copies = cut_lineage(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    # Band keys once per different text; equal (digest, doc_id) rows are repeated rows.
-    own = sig.join(copies, "digest").where("doc_id = rep").select(F.col("rep").alias("doc"), "bands", "sketch").dropDuplicates(["doc"])
+def _row_verdicts(docs: DataFrame, row: Column, id_col: str, text: str, threshold: float) -> DataFrame:
+    """(row, doc_id, class_id, is_kept) per row of `docs`; `row` gives the rows different numbers."""
+    sig = cut_lineage(signatures(docs, row, id_col, text))
+    # Nulls last: a row without an id is kept only where no other is.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    copies = cut_lineage(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min(order).alias("first")).withColumn("rep", F.col("first.row")))
+    # Band keys once per different text.
+    own = sig.where("bands IS NOT NULL").withColumnRenamed("row", "doc").join(copies.select(F.col("rep").alias("doc")), "doc")
     keys = own.select("doc", F.explode("bands").alias("key"))
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(keys.join(met, "key"))
     meets = cut_lineage(buckets.groupBy("doc").agg(F.sum("n").alias("meets")))
     # Sketches and bands join only those that meet any other.
-    buckets = cut_lineage(buckets.drop("n").join(own.join(meets, "doc"), "doc").withColumn("done", F.lit(False)))
-    # A document whose rows share its id but not their text is one vertex: link the texts of an id.
-    same_id = sig.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    buckets = cut_lineage(buckets.drop("n").join(own.select("doc", "bands", "sketch").join(meets, "doc"), "doc").withColumn("done", F.lit(False)))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc IS NOT NULL")
-    shingles = cut_lineage(_shingle_rows(source, meets.select("doc"), meets.count()).dropDuplicates(["doc"]))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    wanted = copies.select(F.col("rep").alias("doc"), F.col("first.doc_id").alias("doc_id"), "digest").join(meets, "doc", "left_semi")
+    shingles = cut_lineage(_shingle_rows(source, wanted, meets.count()))
 
     links = compared = None
     live, n = buckets.withColumn("cls", F.col("doc")), 1
@@ -263,15 +292,37 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
         live = cut_lineage(live.join(several.where("lo <> hi AND open > 1").select("key"), "key", "left_semi"))
         n *= 16 if n == 1 else 256
 
-    every = same_id if links is None else links.unionByName(same_id)
-    final = connected_components(every).select(F.col("vertex").alias("rep"), F.col("root").alias("root"))
-    named = copies.join(final, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = sig.select("doc_id", "digest").join(named, "digest", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id")).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    if links is None:
+        links = meets.select(F.col("doc").alias("u"), F.col("doc").alias("v")).limit(0)
+    # Rows are kept by the classes of texts; classes are named after the texts of an id are linked too.
+    texts = connected_components(links)
+    several = sig.where("doc_id IS NOT NULL").join(copies.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    several = cut_lineage(several.select("doc_id", "lo"))
+    verdict = copies.join(_best(texts, copies, "kept"), "rep", "left").withColumn("kept", F.coalesce("kept", "first"))
+    verdict = verdict.withColumn("named", F.col("kept"))
+    if not several.isEmpty():
+        same_id = sig.join(several, "doc_id").join(copies.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("lo").alias("v")).distinct()
+        groups = connected_components(links.unionByName(same_id))
+        verdict = verdict.drop("named").join(_best(groups, copies, "named"), "rep", "left").withColumn("named", F.coalesce("named", "first"))
+    verdict = verdict.select("digest", F.col("kept.row").alias("kept"), F.col("named.doc_id").alias("named"))
+    out = sig.select("row", "doc_id", "digest").join(verdict, "digest", "left")
+    return out.select("row", "doc_id", F.coalesce("named", "doc_id").alias("class_id"), F.coalesce(F.col("row") == F.col("kept"), F.lit(True)).alias("is_kept"))
+
+
+def _best(classes: DataFrame, copies: DataFrame, name: str) -> DataFrame:
+    """(rep, `name`): for texts of (vertex, root) the first row of their class."""
+    linked = classes.join(copies.select(F.col("rep").alias("vertex"), "first"), "vertex")
+    return linked.join(linked.groupBy("root").agg(F.min("first").alias(name)), "root").select(F.col("vertex").alias("rep"), name)
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, is_kept) per row of `docs`: the class is named by its smallest doc_id."""
+    return _row_verdicts(docs, F.monotonically_increasing_id(), id_col, text, threshold).drop("row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, all columns kept; documents without an id and repeated rows of the kept one stay as they are."""
-    verdict = near_duplicate_classes(docs, id_col, text)
-    gone = verdict.where("NOT is_kept").select(F.col("doc_id").alias(fresh_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+    """One row of each class, all columns kept. The rows are written with their numbers, so that these stay."""
+    row = fresh_name(docs, "row")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = _row_verdicts(rows, F.col(row), id_col, text, THRESHOLD).where("NOT is_kept").select(F.col("row").alias("gone"))
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").drop(row)

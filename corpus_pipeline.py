@@ -1,7 +1,7 @@
 """From raw documents to packed training windows, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns
-of `docs`. Rows with a null doc_id go through every stage; an empty table gives empty results.
+of `docs`. Rows with a null doc_id or a repeated one are judged like any other; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One row of each class of near-duplicates stays."""
     return near_dedup.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Rows that hold a benchmark passage go."""
     return decontamination.drop_leaked(docs, read_table(spark, sf_dir, "benchmark"))
 
 

@@ -64,3 +64,11 @@ def test_awkward_rows(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.leaks(docs, none).collect() == [] and dc.leaks(no_docs, items).collect() == []
+
+
+def test_rows_go_by_row_whatever_the_ids(spark):
+    passage = sentences(8, 60)
+    rows = [(None, passage), (None, sentences(1, 60)), (1, passage), (1, passage), (1, sentences(2, 60)), (2, sentences(3, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dc.drop_leaked(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[1], rows[4], rows[5]], key=str)

@@ -112,3 +112,20 @@ def test_sketches_of_short_and_repetitive_texts_agree():
         bad += int(((bits[::2] == bits[1::2]).sum(axis=1) < nd.AGREEING).sum())
         total += trials
     assert total >= 10_000 and bad <= total // 1000
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    """Copies and near copies without an id and repeated rows go; texts that are no copies stay."""
+    a, b, c, d = (sentences(300 + k, 60) for k in range(4))
+    near_c = c.replace(c.split()[30], "qqq", 1)
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, c), (None, near_c), (3, d), (3, None), (3, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [tuple(r) for r in nd.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (None, kept_c(kept, c, near_c)), (3, d), (3, None), (None, None)], key=str)
+    verdict = nd.near_duplicate_classes(docs).collect()
+    assert len(verdict) == len(rows) and sum(r["is_kept"] for r in verdict) == len(kept)
+    assert sorted(str(r["class_id"]) for r in verdict if r["doc_id"] is None) == ["1"] + ["None"] * 5
+
+
+def kept_c(kept, c, near_c):
+    return next(t for _, t in kept if t in (c, near_c))
