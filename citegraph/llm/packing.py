@@ -277,7 +277,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     ends = cut_lineage(ends.select("sequence_id", F.col("filled").alias("base"), "from", (F.col("from") + F.col("room")).alias("to")))
     sums = ends.agg(F.max("to").alias("room")).first()
     room = sums["room"] or 0
-    windows = int(placed.agg(F.max("sequence_id")).first()[0] or -1) + 1 if histogram.any() else 0
+    last = placed.agg(F.max("sequence_id")).first()[0]
+    windows = 0 if last is None else int(last) + 1
     pool = every.where("ids IS NOT NULL")
     # These rows carry their ids, so fewer of them make a block.
     pool = pool.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(_blocks(10 * pool.count()))))

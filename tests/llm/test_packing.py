@@ -52,6 +52,16 @@ def test_little_padding(spark):
     assert sum(r["length"] for r in rows) > 0.9 * windows * pk.WINDOW
 
 
+def test_one_fixed_window_and_a_larger_pool(spark):
+    """Rows without an id lend their rests to the pool: its windows come after window 0, not over it."""
+    texts = [(k, sentences(k, 30)) for k in range(12)] + [(None, sentences(500 + k, 1500)) for k in range(6)]
+    rows = pk.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH).collect()
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
+    assert sum(n for _, _, n in spans) == sum(len(ids_of(t)) for _, t in texts)
+    assert {s for s, _, _ in spans} == set(range(spans[-1][0] + 1)) and spans[-1][0] > 0
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "Plain words, and more.", "ÉÀ Über straße I'll don't <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "tab\there nbsp　wide", "é combining Å x≠y ≠", "№ ½ Σίσυφος İstanbul ſ K 日本語 😀👍🏽", "a.b,c;d--e!!! ***x*** 12 3.14 'tis rock'n'roll", "\x00 \x1f \x85  ", "x" * 5000],
