@@ -261,7 +261,10 @@ def without_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshots.export_nodes(fx.nodes(spark, sf_dir), fx.aliases(spark, sf_dir), fx.work_assertions(spark, sf_dir))
+    """One row per node at every size, as the SQL gives it: the parts of a crowded node are put together again."""
+    parts = snapshots.export_nodes(fx.nodes(spark, sf_dir), fx.aliases(spark, sf_dir), fx.work_assertions(spark, sf_dir))
+    whole = lambda column: F.array_sort(F.flatten(F.collect_list(column))).alias(column)
+    rows = parts.groupBy("canonical_id", "kind").agg(whole("aliases"), whole("assertions"))
     label = lambda column, text: F.coalesce(F.array_join(F.transform(column, text), ","), F.lit(""))
     return rows.select(
         "canonical_id", "kind", label("aliases", lambda a: F.concat_ws(":", a["scheme"], a["value"])).alias("names"),

@@ -1,6 +1,7 @@
 import pytest
 
 from citegraph.operators import catalog, store_sync
+from citegraph.plans import queries_catalog
 from citegraph.sources import snapshots
 from conftest import rows
 
@@ -113,6 +114,17 @@ def test_export_splits_a_crowded_node_into_parts(spark):
     assert sum(len(r["assertions"] or []) for r in of_n) == 1
 
 
+def test_the_export_query_gives_one_row_for_a_crowded_node(spark, monkeypatch):
+    n = snapshots.PART_ENTRIES + 500
+    aliases = spark.range(n).selectExpr("'s' AS scheme", "lpad(id, 6, '0') AS value", "'n' AS canonical_id")
+    given = {"nodes": spark.createDataFrame([("n", "work", None), ("m", "work", None)], NODE), "aliases": aliases, "work_assertions": claims(spark, ("n", "b", "{}", "1"), ("n", "a", "{}", "2"))}
+    for name, df in given.items():
+        monkeypatch.setattr(queries_catalog.fx, name, lambda spark, sf_dir, df=df: df)
+    got = {r["canonical_id"]: (r["names"], r["sources"]) for r in queries_catalog.export_nodes(spark, "").collect()}
+    assert queries_catalog.export_nodes(spark, "").count() == 2 and got["m"] == ("", "")
+    assert got["n"] == (",".join(f"s:{i:06d}" for i in range(n)), "a,b")
+
+
 def test_snapshot_is_switched_last(spark, tmp_path):
     for name, data in (("one", [("a",)]), ("two", [("b",)])):
         snapshots.publish(spark.createDataFrame(data, "x string"), str(tmp_path), "t", name)
