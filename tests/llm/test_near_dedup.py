@@ -129,3 +129,11 @@ def test_one_row_of_each_class_stays_whatever_the_ids(spark):
 
 def kept_c(kept, c, near_c):
     return next(t for _, t in kept if t in (c, near_c))
+
+
+def test_near_copies_of_each_text_of_an_id_are_found(spark):
+    a, b = sentences(401, 60), sentences(402, 60)
+    near_a, near_b = (t.replace(t.split()[30], "qqq", 1) for t in (a, b))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, near_a), (3, near_b)], "doc_id long, text string")
+    assert {r["class_id"] for r in nd.near_duplicate_classes(docs).collect()} == {1}
+    assert [r["doc_id"] for r in nd.keep_one(docs).collect()] == [1, 1]
