@@ -28,9 +28,3 @@ def sf_dir():
     if not SMALL.exists():
         pytest.skip("test tables are not here")
     return str(SMALL)
-
-
-def rows(df, *columns):
-    """The rows as sorted tuples, nulls first."""
-    out = [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
-    return sorted(out, key=lambda r: tuple((v is not None, str(v)) for v in r))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from citegraph.operators import artifacts
-from conftest import rows
+from tests.helpers import rows
 
 
 def test_versions_continue_and_only_the_newest_is_current(spark):

@@ -3,7 +3,7 @@ import pytest
 from citegraph.operators import catalog, store_sync
 from citegraph.plans import queries_catalog
 from citegraph.sources import snapshots
-from conftest import rows
+from tests.helpers import rows
 
 CLAIM = "canonical_id string, source string, attrs string, fetched_at string"
 NODE = "canonical_id string, kind string, merged_into string"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions import intervals, ranking, scans
 from citegraph.session import broadcast_if_small, measure
-from conftest import rows
+from tests.helpers import rows
 
 
 @pytest.fixture(scope="module")

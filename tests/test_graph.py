@@ -3,7 +3,7 @@ import random
 import pytest
 
 from citegraph.operators import graph
-from conftest import rows
+from tests.helpers import rows
 
 EDGE = "src_id string, dst_id string, relation string"
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegraph.operators import identity
-from conftest import rows
+from tests.helpers import rows
 
 RECORD = "record_id string, seq int, scheme string, value string"
 ALIAS = "scheme string, value string, canonical_id string"

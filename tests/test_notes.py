@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from citegraph.functions import notes_grammar as g
 from citegraph.operators import notes, notes_sync
 from citegraph.sources.notes_files import read_notes
-from conftest import rows
+from tests.helpers import rows
 
 NOTE = """---
 schema: log

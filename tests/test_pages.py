@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions import folios, page_text
 from citegraph.operators import pages
-from conftest import rows
+from tests.helpers import rows
 
 
 def page_table(spark, *texts, doc="d"):

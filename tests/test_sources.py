@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from citegraph.sources import arxiv, emission, manual, openalex, references, semanticscholar
 from citegraph.operators import identity
-from conftest import rows
+from tests.helpers import rows
 
 NOW = "2024-01-01T00:00:00Z"
 WORK = {

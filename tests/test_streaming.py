@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from citegraph.operators import identity
 from citegraph.streaming import coalesce, ingest, latest
-from conftest import rows
+from tests.helpers import rows
 
 RECORD = "record_id string, seq int, scheme string, value string"
 
