@@ -71,7 +71,7 @@ def test_awkward_rows(docs):
     kept = nd.keep_one(docs)
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] or -1 for r in kept.collect())
-    assert ids == sorted([-1, -1, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19])
+    assert ids == sorted([-1, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19])
 
 
 def test_empty(no_docs):
