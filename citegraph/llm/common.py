@@ -74,15 +74,10 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BASE = _U(0xD1342543DE82EF95)
 _BASE_INVERSE = _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _GRAM = _U(0xAF251AF3B0F025B5)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        grown = np.full(max(n, 2 * len(_powers[kind])), base, _U)
-        grown[0] = 1
-        _powers[kind] = np.cumprod(grown, dtype=_U)
-    return _powers[kind][:n]
+#: Bytes whose prefix sums are held at a time.
+STRETCH = 1 << 20
+_UP = np.cumprod(np.concatenate([np.ones(1, _U), np.full(STRETCH, _BASE, _U)]), dtype=_U)
+_DOWN = np.cumprod(np.concatenate([np.ones(1, _U), np.full(STRETCH, _BASE_INVERSE, _U)]), dtype=_U)
 
 
 @dataclass
@@ -130,11 +125,28 @@ def segment(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span, equal for equal bytes wherever they lie."""
-    n = len(data)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, n + 1)[:n], out=sums[1:], dtype=_U)
-    return mix((sums[ends] - sums[starts]) * _power("down", _BASE_INVERSE, n + 1)[starts])
+    """A hash of each byte span, equal for equal bytes wherever they lie; spans lie in order and apart.
+
+    Prefix sums cover a stretch of spans at a time, so a long text takes no more than its bytes and `STRETCH` sums.
+    """
+    out = np.zeros(len(starts), _U)
+    first = 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + STRETCH, "right")))
+        at, to = starts[first:last] - base, ends[first:last] - base
+        if to[-1] <= STRETCH:
+            sums = np.zeros(to[-1] + 1, _U)
+            np.cumsum(_BYTE[data[base : base + to[-1]]] * _UP[: to[-1]], out=sums[1:], dtype=_U)
+            out[first:last] = (sums[to] - sums[at]) * _DOWN[at]
+        else:  # one span longer than a stretch: its parts, each raised to its place
+            total = 0
+            for lo in range(0, int(to[0]), STRETCH):
+                part = _BYTE[data[base + lo : base + min(lo + STRETCH, int(to[0]))]]
+                total += int(np.sum(part * _UP[: len(part)], dtype=_U)) * pow(int(_BASE), lo, 1 << 64)
+            out[first] = total % (1 << 64)
+        first = last
+    return mix(out)
 
 
 def words_of(column: pa.Array, lower: bool = True, inside: np.ndarray = WORD_BYTES) -> Words:
