@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citegraph.llm import (
-    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity,
+    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, whitening,
 )
 from citegraph.llm.common import read_table
 from citegraph.plans.registry import Registry
@@ -62,3 +62,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
+@REG.query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
