@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citegraph.llm import (
-    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, whitening,
+    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules,
+    ranked_search, secrets, sharding, toxicity, whitening,
 )
 from citegraph.llm.common import read_table
 from citegraph.plans.registry import Registry
@@ -67,3 +68,32 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("op11_embedding_whitening")
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH words AS (SELECT r, doc_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents)),
+lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY r),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+postings AS (SELECT r, term, count(*) AS tf FROM words GROUP BY r, term),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term
+),
+asked AS (
+    SELECT i, item_id, term, count(*) AS repeats
+    FROM (SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark))
+    GROUP BY i, item_id, term
+),
+scored AS (
+    SELECT i, item_id, doc_id, r, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (r), corpus
+    GROUP BY i, item_id, doc_id, r
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 20
+"""
+
+
+@REG.query("op12_ranked_search", OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
