@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citegraph.llm import (
-    chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules,
+    best_fit, chat, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules,
     ranked_search, secrets, sharding, toxicity, whitening,
 )
 from citegraph.llm.common import read_table
@@ -97,3 +97,8 @@ SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <=
 @REG.query("op12_ranked_search", OP12_SQL)
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@REG.query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
