@@ -38,8 +38,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about `limit` bytes of text, at least one row each; nulls in `text` are empty."""
+def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `limit` bytes of text and at most `rows` rows, at least one row each; nulls in `text` are empty."""
     column = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
     batch = batch.set_column(batch.schema.get_field_index(text), text, column)
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -47,6 +47,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = stop if rows is None else min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -10,9 +10,17 @@ nearly all stop after one arrival.
 Registers are banded into keys. In a bucket a few centres are compared with all members of other
 classes, never all members with each other; verified links are contracted to classes, and
 buckets that still hold several classes go on with further centres (16, then 4096 and so on) until each
-pair of a bucket either shares a class or was compared. A comparison is exact; pairs whose bit sketches already differ
-by more than chance allows at the threshold are spared it. So the only links lost are those that no band proposes
-(one in 1,500 at similarity 0.8, fewer above) or whose sketches mislead (one in 4,000).
+pair of a bucket either shares a class or was compared. A comparison is exact. A pair is spared it where it cannot or
+all but cannot reach the threshold:
+
+- its bit sketches differ by more than chance allows at the threshold;
+- of the shingles of either too many are in no other text that is still compared. If a share 1 - s of the weight of x is
+  its own, and 1 - r of that of y, the similarity is at most 1 / (1/s + 1/r - 1). Texts for which this alone
+  rules out any partner leave. In a large group of copies of one text, each changed in places of its own, those near
+  the first text are linked to it in the first rounds, and nearly all other pairs fall to this bound: it is exact, so no link is lost.
+
+So the only links lost are those that no band proposes (one in 1,500 at similarity 0.8, fewer above) or whose sketches
+mislead (one in 4,000).
 
 Vertices are different texts (equal word sequences), named by the number of one of their rows.
 
@@ -39,6 +47,8 @@ from citegraph.session import cut_lineage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
+#: Rows whose registers a worker holds at a time, and pairs whose shingles it holds.
+PIECE_ROWS, PIECE_PAIRS = 1024, 512
 #: All registers give one bit each to a sketch (eight longs: a longer comparison is no longer compiled); the first BANDS * ROWS make the band keys.
 REGISTERS = 512
 SKETCH = REGISTERS // 64
@@ -120,7 +130,7 @@ def _blank_digest(doc_id: int | None) -> bytes | None:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", rows=PIECE_ROWS):
             words = words_of(part.column("text"))
             n = part.num_rows
             counts = np.diff(words.first)
@@ -199,11 +209,40 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(total)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(code: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(code.as_buffer(), _U)
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, doc, share of the doc's weight) of rows (doc, shingles)."""
     for batch in batches:
-        a, b = batch.column("a_shingles").to_pylist(), batch.column("b_shingles").to_pylist()
-        value = [probability_jaccard(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
+        for k in range(0, batch.num_rows, PIECE_PAIRS):
+            part = batch.slice(k, PIECE_PAIRS)
+            found = [np.unique(_hashes(c), return_counts=True) for c in part.column("shingles")]
+            row = np.repeat(np.arange(len(found)), [len(e) for e, _ in found])
+            share = np.concatenate([c / c.sum() for _, c in found]) if found else np.zeros(0)
+            element = np.concatenate([e for e, _ in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(element), part.column("doc").take(pa.array(row)), pa.array(share)], ["shingle", "doc", "share"])
+
+
+def own_shares(shingles: DataFrame) -> DataFrame:
+    """(doc, excess) of rows (doc, shingles): 1/s - 1, where s is the share of a doc's weight in shingles that any other row has too.
+
+    Two docs have a similarity of 1 / (1 + excess of one + excess of the other) at most; null where nothing is shared.
+    """
+    weights = shingles.select("doc", "shingles").mapInArrow(_weights, "shingle long, doc long, share double")
+    single = weights.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("doc").alias("doc"), F.first("share").alias("share")).where("n = 1")
+    own = single.groupBy("doc").agg(F.sum("share").alias("own"))
+    shared = F.lit(1.0) - F.coalesce("own", F.lit(0.0))
+    return shingles.select("doc").join(own, "doc", "left").select("doc", F.when(shared > 1e-9, 1.0 / shared - 1.0).alias("excess"))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, whole.num_rows, PIECE_PAIRS):
+            batch = whole.slice(k, PIECE_PAIRS)
+            value = [probability_jaccard(_hashes(x), _hashes(y)) for x, y in zip(batch.column("a_shingles"), batch.column("b_shingles"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
 
 
 def signatures(docs: DataFrame, row: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,12 +302,13 @@ def _row_verdicts(docs: DataFrame, row: Column, id_col: str, text: str, threshol
     shingles = cut_lineage(_shingle_rows(source, wanted, meets.count()))
 
     links = compared = None
-    live, n = buckets.withColumn("cls", F.col("doc")), 1
+    most = 1 / threshold - 1 + 1e-9  # of the excess of both of a pair
+    live, n = buckets.withColumn("cls", F.col("doc")).withColumn("excess", F.lit(0.0)), 1
     while True:
-        picked = cut_lineage(_centres(live, n).select("key", F.col("doc").alias("centre"), F.col("cls").alias("centre_cls"), F.col("sketch").alias("centre_sketch"), F.col("bands").alias("centre_bands")))
+        picked = cut_lineage(_centres(live, n).select("key", F.col("doc").alias("centre"), F.col("cls").alias("centre_cls"), F.col("sketch").alias("centre_sketch"), F.col("bands").alias("centre_bands"), F.col("excess").alias("centre_excess")))
         if picked.isEmpty():
             break
-        near = live.where("NOT done").join(picked, "key").where((F.col("cls") != F.col("centre_cls")) & (_agreement("sketch", "centre_sketch") >= AGREEING))
+        near = live.where("NOT done").join(picked, "key").where((F.col("cls") != F.col("centre_cls")) & (F.col("excess") + F.col("centre_excess") <= most) & (_agreement("sketch", "centre_sketch") >= AGREEING))
         if n > 1:
             # Most links are known by now. A pair that meets in several buckets is left to the one of the smallest key,
             # which goes on until it has compared all its pairs or holds one class.
@@ -290,6 +330,9 @@ def _row_verdicts(docs: DataFrame, row: Column, id_col: str, text: str, threshol
         # Buckets that hold several classes still, and two members that were not centres.
         several = live.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.when(F.col("done"), 0).otherwise(1)).alias("open"))
         live = cut_lineage(live.join(several.where("lo <> hi AND open > 1").select("key"), "key", "left_semi"))
+        if n > 1:  # the centres have had their say; what is left is bounded by what each text has of its own
+            left = shingles.join(live.select("doc").distinct(), "doc", "left_semi")
+            live = cut_lineage(live.drop("excess").join(own_shares(left).where(F.col("excess") <= most), "doc"))
         n *= 16 if n == 1 else 256
 
     if links is None:

@@ -1,8 +1,10 @@
 import itertools
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citegraph.llm import near_dedup as nd
@@ -137,3 +139,53 @@ def test_near_copies_of_each_text_of_an_id_are_found(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (2, near_a), (3, near_b)], "doc_id long, text string")
     assert {r["class_id"] for r in nd.near_duplicate_classes(docs).collect()} == {1}
     assert [r["doc_id"] for r in nd.keep_one(docs).collect()] == [1, 1]
+
+
+def test_what_texts_have_of_their_own_bounds_their_similarity(spark):
+    """No pair is above the bound, whatever its weights; where nothing is shared there is none."""
+    rng = random.Random(8)
+    bags = []
+    for k in range(40):
+        bag = [rng.randint(0, 25) for _ in range(rng.randint(1, 40))] + [1000 + 50 * k + rng.randint(0, 20) for _ in range(rng.randint(0, 12))]
+        bags.append(np.sort(np.array(bag, np.uint64)))
+    bags.append(np.array([77_777, 77_777], np.uint64))
+    frame = spark.createDataFrame([(k, bytearray(b.tobytes())) for k, b in enumerate(bags)], "doc long, shingles binary")
+    excess = {r["doc"]: r["excess"] for r in nd.own_shares(frame).collect()}
+    assert len(excess) == len(bags) and excess[40] is None
+    tight = 0
+    for i in range(40):
+        for j in range(i):
+            bound = 1 / (1 + excess[i] + excess[j])
+            value = nd.probability_jaccard(bags[i], bags[j])
+            assert value <= bound + 1e-9
+            tight += value > 0.5 * bound
+    assert tight > 0
+    sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4, 5, 10], [1, 2, 3, 4, 5, 20, 21])]
+    frame = spark.createDataFrame([(k, bytearray(b.tobytes())) for k, b in enumerate(sets)], "doc long, shingles binary")
+    a, b = (r["excess"] for r in nd.own_shares(frame).orderBy("doc").collect())
+    assert nd.probability_jaccard(*sets) <= 1 / (1 + a + b) + 1e-9
+
+
+def test_a_large_group_of_copies_changed_in_places_of_their_own(spark):
+    """Copies of one text, each with words of its own in one to six places: classes are those of all pairs compared."""
+    rng = random.Random(4)
+    base = sentences(77, 100).replace("\n", " ").split()
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for place in rng.sample(range(0, len(words), 6), rng.randint(1, 6)):
+            words[place] = f"own{k}x{place}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate([" ".join(base), *texts])), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(docs).collect()}
+    words = nd.words_of(pa.array([" ".join(base), *texts], pa.large_string()))
+    grams = words.grams(nd.SHINGLE)
+    bags = [np.sort(nd.shingles_of(words, i, grams)) for i in range(61)]
+    root = list(range(61))
+    for i in range(61):
+        for j in range(i):
+            if nd.probability_jaccard(bags[i], bags[j]) >= nd.THRESHOLD:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 1 < len(set(root)) < 61
+    assert got == dict(enumerate(root))
