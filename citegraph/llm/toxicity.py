@@ -2,12 +2,11 @@
 
 A text is seen as the set of its words and word beginnings (lower-cased; prefixes of `PREFIXES` bytes). Voters are
 found on a bounded sample of labelled texts (`PER_CLASS` of each label, by a hash of the id): words of a fixed lexicon, mined words and
-beginnings that are frequent in toxic texts and rare in others, chosen so that most toxic texts meet several, and
+beginnings that are frequent in toxic texts and rare in others (the best `CANDIDATES` of the sample), chosen so that most toxic texts meet several, and
 two patterns (a text that meets three voters' grams; a text without any suspicious gram, which votes the other way).
 
-The label model is generative: EM finds the class share and each voter's chance to vote on either class; votes that
-still agree beyond what the class explains are correlated, and a voter's evidence is divided by one plus its
-correlations. A ridge logistic regression on the presence of `FEATURES` grams is trained on the posteriors and
+The label model is generative: EM finds the class share and each voter's chance to vote or abstain on either class; voters that
+still agree within a class are correlated, and a voter of a group of k correlated ones weighs 1/k of its evidence. A ridge logistic regression on the presence of `FEATURES` grams is trained on the posteriors and
 calibrated to the labels' true shares. It scores every text whole.
 
 Defined cases: a null text is empty and scored by the intercept; without texts of both labels every score is
@@ -33,6 +32,10 @@ VOTERS = 96
 DEPTH = 4
 FEATURES = 600
 THRESHOLD = 0.3
+#: Correlation of two voters over all texts that makes them the same voter, and within a class that makes them related.
+SAME, RELATED = 0.8, 0.3
+#: Grams that may become voters or features: those that tell the classes apart best in the sample (and the lexicon).
+CANDIDATES = 4000
 _U = np.uint64
 #: Words that vote wherever they occur, in the languages of the corpus.
 LEXICON = (
@@ -112,31 +115,68 @@ class LabelModel:
         return hit / (hit + self.chance[0] * (1 - self.prior))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes = np.log(self.chance[1] / self.chance[0])
-        return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (yes * self.weight))
+        """P(toxic) per text; an abstention counts as what it is, one minus the chance of a vote."""
+        yes, no = np.log(self.chance[1] / self.chance[0]), np.log((1 - self.chance[1]) / (1 - self.chance[0]))
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + (no * self.weight).sum() + votes @ ((yes - no) * self.weight))
+
+
+def _correlations(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Correlations of the columns of `v` over rows weighted by `p`; 0 where a column does not vary."""
+    total = max(p.sum(), 1e-9)
+    rest = v - (p @ v) / total
+    cov = (rest * p[:, None]).T @ rest / total
+    spread = np.sqrt(np.maximum(np.diag(cov), 0))
+    # A column that (nearly) never varies within the rows says nothing about correlation.
+    steady = spread < np.sqrt(5.0 / total)
+    out = cov / np.maximum(np.outer(spread, spread), 1e-12)
+    out[steady] = 0
+    out[:, steady] = 0
+    np.fill_diagonal(out, 0)
+    return out
+
 
+def _shares(linked: np.ndarray) -> np.ndarray:
+    """One over the size of each column's group of linked columns."""
+    group = np.arange(len(linked))
+    while True:
+        least = np.where(linked, group[None], len(group)).min(axis=1, initial=len(group))
+        new = np.minimum(group, least)
+        if (new == group).all():
+            return 1.0 / np.bincount(group, minlength=len(group))[group]
+        group = new
 
-def fit_label_model(votes: np.ndarray, direction: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
-    """EM over (texts, voters) booleans; `direction` is 1 for voters against a text, 0 for those in its favour. Abstaining says nothing."""
-    n, m = votes.shape
+
+def _em(v: np.ndarray, direction: np.ndarray, prior: float, weight: np.ndarray, rounds: int) -> LabelModel:
     start = np.where(direction == 1, np.array([[0.002], [0.15]]), np.array([[0.8], [0.1]]))
-    model = LabelModel(prior, start, np.ones(m))
-    v = votes.astype(float)
+    model = LabelModel(prior, start, weight)
     for _ in range(rounds):
         p = model.posterior(v)
         chance = np.stack([((1 - p) @ v + start[0]) / ((1 - p).sum() + 1), (p @ v + start[1]) / (p.sum() + 1)])
         # A voter never counts against its own direction.
         low, high = np.minimum(chance[0], chance[1]), np.maximum(chance[0], chance[1])
         chance = np.clip(np.where(direction == 1, np.stack([low, high]), np.stack([high, low])), 1e-5, 1 - 1e-5)
-        expected = (1 - p)[:, None] * chance[0] + p[:, None] * chance[1]
-        rest = v - expected
-        spread = np.maximum(np.sqrt((rest**2).mean(axis=0)), 1e-6)
-        related = np.clip((rest / spread).T @ (rest / spread) / n, 0, 1)
-        np.fill_diagonal(related, 0)
-        model = LabelModel(float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), chance, 1.0 / (1.0 + np.where(related > 0.2, related, 0).sum(axis=1)))
+        new = LabelModel(float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), chance, weight)
+        if abs(new.prior - model.prior) < 1e-7 and np.abs(new.chance - model.chance).max() < 1e-6:
+            return new
+        model = new
     return model
 
 
+def fit_label_model(votes: np.ndarray, direction: np.ndarray, prior: float, rounds: int = 200) -> LabelModel:
+    """EM over (texts, voters) booleans; `direction` is 1 for voters against a text, 0 for those in its favour.
+
+    Voters whose votes are all but the same count as one from the start, or the class would become what they have in common.
+    After a first fit, voters that are correlated among the texts of one class are grouped, a voter of a group
+    of k weighs 1/k, and the chances are fitted once more.
+    """
+    v = votes.astype(float)
+    same = _correlations(v, np.ones(len(v))) > SAME
+    model = _em(v, direction, prior, _shares(same), rounds)
+    p = model.posterior(v)
+    related = np.maximum(_correlations(v, p), _correlations(v, 1 - p)) > RELATED
+    return _em(v, direction, prior, _shares(same | related), rounds)
+
+
 @dataclass
 class Model:
     features: np.ndarray  # sorted hashes
@@ -201,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     lexicon = [int(h) for h in word_hash(LEXICON).view(np.int64)]
     rare, lift = max(3.0, 0.004 * size[1]), (F.col("t") + 0.5) / size[1] / ((F.col("c") + 0.5) / size[0])
     best = counts.where(((F.col("t") >= rare) & (lift >= 2.0)) | F.col("gram").isin(lexicon)).withColumn("lift", F.log(lift) * F.sqrt("t"))
-    kept = cut_lineage(best.orderBy(F.desc("lift"), "gram").limit(4000).select("gram"))
+    kept = cut_lineage(best.orderBy(F.desc("lift"), "gram").limit(CANDIDATES).select("gram"))
     # Only the candidates' incidence comes to the driver: at most 2 * PER_CLASS texts.
     pairs = seen.select("doc_id", F.explode("grams").alias("gram")).join(F.broadcast(kept), "gram").toArrow()
     ids = seen.select("doc_id", "label").orderBy("doc_id").toArrow()

@@ -97,3 +97,38 @@ def test_the_label_model_finds_accuracies_and_correlations():
     model = toxicity.fit_label_model(votes, np.ones(4), 0.15)
     assert model.accuracy()[0] == pytest.approx(y[good].mean(), abs=0.08)
     assert model.weight[1] < 0.7 and model.weight[0] > 0.8
+
+
+def test_the_label_model_leaves_independent_voters_their_weight():
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.15
+    votes = np.column_stack([np.where(y, rng.random(4000) < hit, rng.random(4000) < false) for hit, false in ((0.7, 0.02), (0.5, 0.01), (0.6, 0.03), (0.4, 0.02))])
+    model = toxicity.fit_label_model(votes, np.ones(4), 0.3)
+    assert (model.weight > 0.8).all() and model.prior == pytest.approx(y.mean(), abs=0.03)
+    for k in range(4):
+        assert model.accuracy()[k] == pytest.approx(y[votes[:, k]].mean(), abs=0.08)
+
+
+def test_the_label_model_equals_plain_em():
+    """Text by text, voter by voter: the same chances, share and posteriors."""
+    rng = np.random.default_rng(5)
+    y = rng.random(300) < 0.3
+    votes = np.column_stack([np.where(y, rng.random(300) < 0.6, rng.random(300) < 0.05) for _ in range(3)])
+    model = toxicity.fit_label_model(votes, np.ones(3), 0.3)
+    assert model.weight.tolist() == [1.0, 1.0, 1.0]
+    share, chance = 0.3, [[0.002] * 3, [0.15] * 3]
+    for _ in range(200):
+        p = []
+        for row in votes:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for j in range(3):
+                    like[c] *= chance[c][j] if row[j] else 1 - chance[c][j]
+            p.append(like[1] / sum(like))
+        share = sum(p) / len(p)
+        chance = [
+            [(sum(q for q, row in zip(p0, votes) if row[j]) + start) / (sum(p0) + 1) for j in range(3)] for p0, start in (([1 - q for q in p], 0.002), (p, 0.15))
+        ]
+    assert model.prior == pytest.approx(share, abs=1e-4)
+    assert model.chance == pytest.approx(np.array(chance), abs=1e-3)
+    assert model.posterior(votes.astype(float)) == pytest.approx(np.array(p), abs=1e-3)
