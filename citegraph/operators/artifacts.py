@@ -78,9 +78,37 @@ def content_outcome(requests: DataFrame, artifacts: DataFrame, blobs: DataFrame)
 
 
 def content_hash(content: Column) -> Column:
+    """A digest that no two contents share in practice; see `fnv1a` for the short one of descriptors."""
     return F.sha2(content, 256)
 
 
+# Start and factor of the 64-bit FNV-1a hash; the factor is 2^40 + 435.
+_FNV_START = (0xCBF29CE4, 0x84222325)
+_FNV_FACTOR = 435
+_LOW = 0xFFFFFFFF
+
+
+def fnv1a(content: Column) -> Column:
+    """`fnv1a:` and the 64-bit FNV-1a hash of bytes in 16 hexadecimal digits; null of null.
+
+    The product is taken in two halves of 32 bits, so nothing overflows: with h = high * 2^32 + low,
+    h * (2^40 + 435) has the low half of low * 435, and above it high * 435, what low * 435 carries, and low * 2^8.
+    """
+    byte = lambda i: F.conv(F.hex(F.substr(content, i.cast("int"), F.lit(1))), 16, 10).cast("long")
+
+    def step(state: Column, i: Column) -> Column:
+        low = state["low"].bitwiseXOR(byte(i))
+        product = low * _FNV_FACTOR
+        high = state["high"] * _FNV_FACTOR + F.shiftright(product, 32) + low * 256
+        return F.struct(high.bitwiseAND(_LOW).alias("high"), product.bitwiseAND(_LOW).alias("low"))
+
+    start = F.struct(F.lit(_FNV_START[0]).cast("long").alias("high"), F.lit(_FNV_START[1]).cast("long").alias("low"))
+    places = F.when(F.octet_length(content) > 0, F.sequence(F.lit(1), F.octet_length(content))).otherwise(F.array().cast("array<int>"))
+    half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    text = F.aggregate(places, start, step, lambda h: F.concat(F.lit("fnv1a:"), half(h["high"]), half(h["low"])))
+    return F.when(content.isNotNull(), text)
+
+
 def derivation_tree(artifacts: DataFrame) -> DataFrame:
     """(canonical_id, role, version, depth, dangling, path, cycle): every artifact under its parent.
 

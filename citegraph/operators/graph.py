@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -116,18 +118,38 @@ def neighborhood(
     direction: str = "forward",
     depth: int = 1,
     max_nodes: int | None = 200,
+    nodes: DataFrame | None = None,
 ) -> Neighborhood:
-    """Bounded breadth-first walk from `seeds` (canonical_id), closed and ranked by in-degree.
+    """Bounded breadth-first walk from `seeds` (canonical_id) over an edge table: see `walk`. One join per hop."""
+    near, _ = _ends(direction)
 
-    One join per hop, the newly visited nodes written out in between; the driver sees one
-    count per hop. Where the cap bites, the smallest ids of that hop are kept.
-    An edge is in the closed subgraph when its near end was expanded (depth below
-    the limit) and its far end was visited, so edges are joined once after the walk.
+    def leaving(frontier: DataFrame, size: int) -> DataFrame:
+        side = frontier.select(F.col("canonical_id").alias(near))
+        return edges.select(*EDGE_KEY).join(broadcast_if_small(side, size), near, "left_semi")
+
+    return walk(leaving, seeds, direction, depth, max_nodes, nodes)
+
+
+def walk(
+    leaving: Callable[[DataFrame, int], DataFrame],
+    seeds: DataFrame,
+    direction: str = "forward",
+    depth: int = 1,
+    max_nodes: int | None = 200,
+    nodes: DataFrame | None = None,
+) -> Neighborhood:
+    """Bounded breadth-first walk, closed and ranked by in-degree.
+
+    `leaving(frontier, bytes)` gives the edges at the frontier's nodes (canonical_id). Each hop's edges are written once;
+    the driver sees one count per hop. Where the cap bites, the smallest ids of that hop are kept. Seeds that are not
+    among `nodes` (canonical_id), if given, are skipped.
+    An edge is in the closed subgraph when its near end was expanded (depth below the limit) and its far end was
+    visited: each node is expanded in one hop, so those are the hops' edges with a visited far end.
     """
     near, far = _ends(direction)
-    steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far"))
-    truncated = False
-    visited = cut_lineage(seeds.select("canonical_id").distinct().withColumn("depth", F.lit(0)))
+    truncated, hops = False, []
+    known = seeds if nodes is None else seeds.join(nodes.select("canonical_id"), "canonical_id", "left_semi")
+    visited = cut_lineage(known.select("canonical_id").distinct().withColumn("depth", F.lit(0)))
     total, size = measure(visited, "canonical_id")
     if max_nodes is not None and total > max_nodes:
         visited, truncated = cut_lineage(smallest_rows(visited, ["canonical_id"], max_nodes)), True
@@ -136,9 +158,10 @@ def neighborhood(
     for hop in range(depth):
         if fresh == 0:
             break
-        frontier = visited.where(F.col("depth") == hop).select(F.col("canonical_id").alias("near"))
-        reached = steps.join(broadcast_if_small(frontier, fresh_size), "near", "left_semi")
-        new = reached.select(F.col("far").alias("canonical_id")).distinct().join(
+        frontier = visited.where(F.col("depth") == hop).select("canonical_id")
+        reached = cut_lineage(leaving(frontier, fresh_size).select(*EDGE_KEY))
+        hops.append(reached)
+        new = reached.select(F.col(far).alias("canonical_id")).distinct().join(
             broadcast_if_small(visited.select("canonical_id"), size), "canonical_id", "left_anti"
         )
         new = cut_lineage(new)
@@ -150,17 +173,27 @@ def neighborhood(
         total, size = total + fresh, size + fresh_size
         visited = visited.unionByName(new.withColumn("depth", F.lit(hop + 1)))
 
-    expanded = visited.where(F.col("depth") < depth).select(F.col("canonical_id").alias(near))
-    inside = visited.select(F.col("canonical_id").alias(far))
-    closed = (
-        edges.select(*EDGE_KEY)
-        .join(broadcast_if_small(expanded, size), near, "left_semi")
-        .join(broadcast_if_small(inside, size), far, "left_semi")
-        .select(*EDGE_KEY)
-    )
+    inside = broadcast_if_small(visited.select(F.col("canonical_id").alias(far)), size)
+    closed = reduce(DataFrame.unionByName, hops).join(inside, far, "left_semi").select(*EDGE_KEY) if hops else _no_edges(visited)
     return Neighborhood(nodes=rank_by_in_degree(visited, closed), edges=closed, truncated=truncated)
 
 
+def _no_edges(visited: DataFrame) -> DataFrame:
+    return visited.select(*[F.col("canonical_id").alias(c) for c in EDGE_KEY]).limit(0)
+
+
+def describe(ranked_nodes: DataFrame, nodes: DataFrame, assertions: DataFrame) -> DataFrame:
+    """A walk's nodes with `kind` and what their providers state, merged: (..., kind, attrs, provenance).
+
+    Only the claims of visited nodes are parsed; a node without claims has null maps.
+    """
+    from citegraph.operators.catalog import merge_assertions, nest_fields
+
+    stated = assertions.join(ranked_nodes.select("canonical_id"), "canonical_id", "left_semi")
+    kinds = nodes.select("canonical_id", "kind")
+    return ranked_nodes.join(kinds, "canonical_id", "left").join(nest_fields(merge_assertions(stated)), "canonical_id", "left")
+
+
 def rank_by_in_degree(nodes: DataFrame, closed_edges: DataFrame) -> DataFrame:
     """`nodes` plus `in_degree` over `closed_edges`, zeros kept. Sort by in_degree desc, id asc to rank."""
     degree = closed_edges.groupBy(F.col("dst_id").alias("canonical_id")).agg(F.count(F.lit(1)).alias("in_degree"))

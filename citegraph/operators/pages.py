@@ -13,7 +13,7 @@ from citegraph.functions.folios import candidates, folio_kind, render_folio
 from citegraph.functions.intervals import overlap_join
 from citegraph.functions.ranking import order_rows
 from citegraph.functions.scans import carry_last, previous_row, running_sum
-from citegraph.session import broadcast_if_small, measure
+from citegraph.session import broadcast_if_small, cut_lineage, measure
 
 
 # ── pages ────────────────────────────────────────────────────────────────────
@@ -281,28 +281,51 @@ def locate_sections(requests: DataFrame, sections: DataFrame, page_counts: DataF
     )
 
 
+QUOTE_GRAM = 3
+
+
+def _runs(text: str) -> Column:
+    """The different runs of `QUOTE_GRAM` characters of a text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (QUOTE_GRAM - 1))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(QUOTE_GRAM))))
+    return F.when(F.length(text) >= QUOTE_GRAM, runs).otherwise(F.array().cast("array<string>"))
+
+
+def quote_candidates(needles: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, needle, page_index): pages that hold the run of three characters of a needle (doc, needle) that is on the fewest pages.
+
+    Runs are counted on the pages first, those of the needles alone; a needle with a run that is on no page has no candidate.
+    """
+    wanted = cut_lineage(needles.select("doc", "needle", F.explode(_runs("needle")).alias("_run")))
+    on_pages = lambda runs: pages.select("doc", "page_index", F.explode(_runs("text")).alias("_run")).join(
+        runs.select("doc", "_run").distinct(), ["doc", "_run"], "left_semi"
+    )
+    counts = on_pages(wanted).groupBy("doc", "_run").agg(F.count(F.lit(1)).alias("n"))
+    rated = wanted.join(counts, ["doc", "_run"], "left").select("doc", "needle", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_run").alias("_run")).alias("r"))
+    rarest = cut_lineage(rated.groupBy("doc", "needle").agg(F.min("r").alias("r")).where("r.n > 0").select("doc", "needle", "r._run"))
+    return on_pages(rarest).join(rarest, ["doc", "_run"]).select("doc", "needle", "page_index")
+
+
 def locate_quotes(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """(request_id, doc, status, page_index) for every page that contains a requested `needle`, case kept.
 
-    A needle that is nowhere gives one row `quote_not_found`, an empty or null one `empty_quote`. Requests meet pages
-    through the needle's first three characters, so a document with many requests and many pages is not all pairs;
-    shorter needles are compared with all pages of their document.
+    A needle that is nowhere gives one row `quote_not_found`, an empty or null one `empty_quote`. Needles meet pages
+    through their rarest run of three characters, so neither a common opening nor many requests on many pages make
+    all pairs; equal needles of a document are looked for once. Needles under three characters are compared with all
+    pages of their document.
     """
-    gram = 3
     asked = requests.select("request_id", "doc", "needle")
     usable = asked.where(F.length("needle") > 0)
-    long, short = usable.where(F.length("needle") >= gram), usable.where(F.length("needle") < gram)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (gram - 1), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(gram))))
-    wanted = long.withColumn("_gram", F.substring("needle", 1, gram))
-    held = pages.select("doc", "page_index", F.explode(starts).alias("_gram")).join(wanted.select("doc", "_gram").distinct(), ["doc", "_gram"], "left_semi")
-    near = held.join(wanted.select("request_id", "doc", "needle", "_gram"), ["doc", "_gram"]).select("request_id", "doc", "page_index", "needle")
-    far = pages.select("doc", "page_index").join(short, "doc").select("request_id", "doc", "page_index", "needle")
+    needles = usable.select("doc", "needle").distinct()
+    near = quote_candidates(needles.where(F.length("needle") >= QUOTE_GRAM), pages)
+    far = pages.select("doc", "page_index").join(needles.where(F.length("needle") < QUOTE_GRAM), "doc").select("doc", "needle", "page_index")
     hits = near.unionByName(far).join(pages.select("doc", "page_index", "text"), ["doc", "page_index"]).where(F.contains("text", "needle"))
-    found = hits.select("request_id", "doc", "needle", F.lit("found").alias("status"), "page_index").distinct()
-    missed = usable.join(found, ["request_id", "doc", "needle"], "left_anti").select("request_id", "doc", F.lit("quote_not_found").alias("status"))
+    hits = cut_lineage(hits.select("doc", "needle", "page_index").distinct())
+    found = usable.join(hits, ["doc", "needle"]).select("request_id", "doc", F.lit("found").alias("status"), "page_index").distinct()
+    missed = usable.join(hits, ["doc", "needle"], "left_anti").select("request_id", "doc", F.lit("quote_not_found").alias("status"))
     empty = asked.where(F.coalesce(F.length("needle"), F.lit(0)) == 0).select("request_id", "doc", F.lit("empty_quote").alias("status"))
     none = missed.unionByName(empty).withColumn("page_index", F.lit(None).cast("int"))
-    return found.drop("needle").unionByName(none)
+    return found.unionByName(none)
 
 
 def read_span(spans: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from citegraph.operators.catalog import stats
+from citegraph.operators import graph, identity
+from citegraph.operators.catalog import stats, upsert_assertions
 from citegraph.operators.identity import ALIAS_KEY, address_alias, alias_text, resolve_live
 from citegraph.session import cut_lineage
 from citegraph.sources.emission import Emission, record_aliases
@@ -44,16 +45,17 @@ def apply_emission(store: Store, emission: Emission) -> Applied:
 
     Every table of the result is written once. Applying the same emission again changes nothing.
     """
-    from citegraph.operators import graph, identity
-    from citegraph.operators.catalog import upsert_assertions
-
     records = cut_lineage(emission.records)
     live = resolve_live(store.nodes)
     known = store.aliases.join(live, "canonical_id").select(*ALIAS_KEY, F.col("live_id").alias("canonical_id"))
     done = identity.resolve_identity(record_aliases(records), known, records.select("record_id", "seq", "kind"))
-    redirects = cut_lineage(done.redirects)
-    record_nodes = cut_lineage(done.record_nodes)
+    done.redirects, done.record_nodes = cut_lineage(done.redirects), cut_lineage(done.record_nodes)
+    return Applied(write_resolved(store, records, emission.edges, done), done.record_nodes)
+
 
+def write_resolved(store: Store, records: DataFrame, edges: DataFrame, done: identity.Resolution) -> Store:
+    """The store after records and edges whose identity is resolved. It may be a part of a store: see `streaming.emissions`."""
+    redirects, record_nodes = done.redirects, done.record_nodes
     # A record without aliases mints the same id each time, so ids already there are not added again.
     held = store.nodes.select("canonical_id")
     nodes = identity.merge_nodes(store.nodes, redirects).unionByName(
@@ -69,20 +71,17 @@ def apply_emission(store: Store, emission: Emission) -> Applied:
     assertions = old.join(fresh, ["canonical_id", "source"], "left_anti").unionByName(fresh)
 
     aliases = cut_lineage(aliases)
-    written = graph.put_edges(emission.edges, aliases)
+    written = graph.put_edges(edges, aliases)
     old_edges = identity.merge_edge_assertions(store.edge_assertions, redirects)
     new_edges = cut_lineage(graph.edge_assertions(written.claims))
     edge_assertions = old_edges.select(*new_edges.columns).join(new_edges, [*graph.EDGE_KEY, "source"], "left_anti").unionByName(new_edges)
     stubs = written.stub_nodes.join(nodes.select("canonical_id"), "canonical_id", "left_anti")
-    return Applied(
-        Store(
-            nodes=cut_lineage(nodes.unionByName(stubs)),
-            aliases=cut_lineage(aliases.unionByName(written.stub_aliases.select(*ALIAS_KEY, "canonical_id"))),
-            assertions=cut_lineage(assertions),
-            edge_assertions=cut_lineage(edge_assertions),
-            artifacts=cut_lineage(identity.merge_artifacts(store.artifacts, redirects)),
-        ),
-        record_nodes,
+    return Store(
+        nodes=cut_lineage(nodes.unionByName(stubs)),
+        aliases=cut_lineage(aliases.unionByName(written.stub_aliases.select(*ALIAS_KEY, "canonical_id"))),
+        assertions=cut_lineage(assertions),
+        edge_assertions=cut_lineage(edge_assertions),
+        artifacts=cut_lineage(identity.merge_artifacts(store.artifacts, redirects)),
     )
 
 

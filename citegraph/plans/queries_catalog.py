@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegraph.operators import artifacts, catalog, graph
+from citegraph.operators import artifacts, catalog, graph, semantic
+from citegraph.operators.text_index import TextIndex
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
+from citegraph.session import cut_lineage, work_folder
 from citegraph.sources import snapshots
 
 REG = Registry()
@@ -397,6 +401,39 @@ def derivation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.derivation_tree(derived).drop("path")
 
 
+@REG.query(
+    "C7_search_indexed",
+    """WITH found AS (
+         SELECT 'author' AS search, p_partkey FROM part WHERE p_brand ILIKE '%brand#1%' OR ('Maker ' || p_size) ILIKE '%brand#1%' OR p_type ILIKE '%brand#1%'
+         UNION ALL SELECT 'bare author', p_partkey FROM part WHERE p_type ILIKE '%econ%' OR p_brand ILIKE '%econ%'
+         UNION ALL SELECT 'title', p_partkey FROM part WHERE p_name ILIKE '%red%'
+         UNION ALL SELECT 'combined', p_partkey FROM part WHERE p_name ILIKE '%ring%' AND 'Maker ' || p_size ILIKE '%maker 1%'
+         UNION ALL SELECT 'short', p_partkey FROM part WHERE p_name ILIKE '%b%' AND p_size = 11)
+       SELECT search, 'p' || p_partkey AS canonical_id FROM found""",
+)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches above through an index of trigrams: claims are parsed when they are added, not when they are searched."""
+    index = TextIndex(spark, work_folder(spark, "text-index"))
+    index.add(fx.work_assertions(spark, sf_dir))
+    nodes = cut_lineage(fx.nodes(spark, sf_dir))
+    asked = {
+        "author": {"author": "bRaNd#1"}, "bare author": {"author": "ECON"}, "title": {"title": "Red"}, "combined": {"title": "ring", "author": "maker 1"},
+        "short": {"title": "B", "year": 1991},
+    }
+    found = [index.search_works(nodes, **filters).select(F.lit(name).alias("search"), "canonical_id") for name, filters in asked.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@REG.query(
+    "E5_fnv1a",
+    """SELECT p_partkey, 'fnv1a:' || lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT,
+              list_transform(range(0, octet_length(encode(p_name))), i -> ('0x' || substr(hex(encode(p_name)), 2 * i::INT + 1, 2))::INT::HUGEINT)),
+              (h, b) -> xor(h, b) * 1099511628211 % 18446744073709551616)::UBIGINT)), 16, '0') AS content_hash FROM part""",
+)
+def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "part").select("p_partkey", artifacts.fnv1a(F.encode(F.col("p_name"), "UTF-8")).alias("content_hash"))
+
+
 @REG.query("E5_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select(
@@ -438,3 +475,16 @@ def bibliographic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("item_id") % 2 + 1).alias("n_authors"), F.lit(2001).alias("year"), F.col("text").alias("title"),
     )
     return artifacts.bibliographic_keys(works)
+
+
+@REG.query(
+    "S1_semantic_search",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+       SELECT query_id, rank::INTEGER AS rank, id FROM (
+         SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS rank
+         FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
+)
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors by cosine, for every vector whose id is divisible by 100."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return semantic.nearest(semantic.build(vectors), vectors.where("vec_id % 100 = 0"), exact=True).select("query_id", "rank", "id")

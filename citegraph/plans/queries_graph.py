@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citegraph.operators import graph
+from citegraph.operators.adjacency import Adjacency
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
-from citegraph.session import cut_lineage
+from citegraph.session import cut_lineage, work_folder
 
 REG = Registry()
 
@@ -282,3 +283,55 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def field_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.field_canon(_part_edges(spark, sf_dir), _concepts(spark, sf_dir))
+
+
+@REG.query(
+    "D4_adjacency_walk",
+    with_views("edge", "SELECT canonical_id, depth FROM visited", extra=WALK_FORWARD, recursive=True),
+)
+def adjacency_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk over edges laid out by their ends; customers are seeds too, but no nodes of this graph, and are skipped."""
+    layout = Adjacency(spark, work_folder(spark, "adjacency"))
+    layout.add(fx.edge_in(spark, sf_dir))
+    strangers = fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("canonical_id"))
+    nodes = fx.nodes(spark, sf_dir).where("kind <> 'venue'")
+    found = layout.neighborhood(_seeds(spark, sf_dir).unionByName(strangers), "forward", 2, None, nodes)
+    return found.nodes.select("canonical_id", "depth")
+
+
+@REG.query(
+    "D3_adjacency_edges",
+    with_views(
+        "edge",
+        """SELECT src_id, dst_id, relation, total FROM (
+             SELECT e.*, row_number() OVER (PARTITION BY dst_id ORDER BY src_id, relation) AS rn, count(*) OVER (PARTITION BY dst_id) AS total
+             FROM edge e WHERE dst_id IN (SELECT 's' || s_suppkey FROM supplier)) WHERE rn <= 200""",
+    ),
+)
+def adjacency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that enter each supplier, from the layout by target; they were added in two batches that overlap."""
+    layout = Adjacency(spark, work_folder(spark, "adjacency"))
+    edges = cut_lineage(graph.distinct_edges(fx.edge_in(spark, sf_dir)))
+    layout.add(edges.where("src_id LIKE 'o%'"))
+    layout.add(edges)
+    ids = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("canonical_id"))
+    return layout.edges_of(ids, "backward", 200)
+
+
+@REG.query(
+    "D6_neighborhood_described",
+    with_views(
+        "edge",
+        """SELECT v.canonical_id, v.depth, count(c.src_id) AS in_degree, any_value(p_name) AS title, any_value(CASE WHEN p_partkey IS NULL THEN 0 ELSE 5 END) AS n_fields,
+                  CASE left(v.canonical_id, 1) WHEN 'o' THEN 'topic' WHEN 'p' THEN 'work' ELSE 'author' END AS kind
+           FROM visited v LEFT JOIN closed c ON c.dst_id = v.canonical_id LEFT JOIN part ON 'p' || p_partkey = v.canonical_id GROUP BY v.canonical_id, v.depth""",
+        extra=WALK_FORWARD, recursive=True,
+    ),
+)
+def neighborhood_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked walk with each node's kind and its merged fields."""
+    found = graph.describe(_walk(spark, sf_dir, max_nodes=None).nodes, fx.nodes(spark, sf_dir), fx.work_assertions(spark, sf_dir))
+    title = F.try_element_at("attrs", F.lit("title"))
+    return found.select(
+        "canonical_id", "depth", "in_degree", F.substring(title, F.lit(2), F.length(title) - 2).alias("title"), F.coalesce(F.size("attrs"), F.lit(0)).alias("n_fields"), "kind"
+    ).withColumn("n_fields", F.greatest("n_fields", F.lit(0)))

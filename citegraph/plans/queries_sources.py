@@ -26,7 +26,7 @@ def _url(letter: str, column: str) -> Column:
     return F.concat(F.lit(f"https://openalex.org/{letter}"), _text(column))
 
 
-def _openalex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def openalex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value) records of five entities, with the mag id a number for even parts and a string for odd ones."""
     t = lambda name: fx.table(spark, sf_dir, name)
     doi = F.concat(F.lit("https://doi.org/10.1/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), _text("p_partkey"))
@@ -68,7 +68,7 @@ def _of_entity(lines: DataFrame, entity: str) -> DataFrame:
        UNION ALL SELECT 'skipped', 'institutions', count(*) FROM nation UNION ALL SELECT 'edge', 'cites', 2 * count(*) FROM part""",
 )
 def read_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = openalex.parse(_openalex_lines(spark, sf_dir), NOW)
+    out = openalex.parse(openalex_lines(spark, sf_dir), NOW)
     tally = lambda df, what, name: df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("count")).select(
         F.lit(what).alias("what"), "name", "count"
     )
@@ -86,7 +86,7 @@ def read_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT 'openalex:T' || r_regionkey, 'openalex', 'T' || r_regionkey FROM region""",
 )
 def openalex_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = openalex.parse(_openalex_lines(spark, sf_dir), NOW).records
+    records = openalex.parse(openalex_lines(spark, sf_dir), NOW).records
     return records.select("record_id", F.explode("aliases").alias("a")).select("record_id", "a.*")
 
 
@@ -97,7 +97,7 @@ def openalex_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def openalex_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out of referenced works, and in from the results of cited-by requests."""
-    lines = _openalex_lines(spark, sf_dir)
+    lines = openalex_lines(spark, sf_dir)
     works = _of_entity(lines, "works")
     answers = works.select("value", F.get_json_object("value", "$.referenced_works[0]").alias("cited"))
     incoming = openalex.cites_edges(openalex.citing_pairs(answers), NOW)
@@ -129,7 +129,7 @@ def _empty_store(spark: SparkSession) -> store_sync.Store:
 )
 def apply_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider's records and edges are written into an empty store, twice; sources that share an ISSN become one venue."""
-    given = openalex.parse(_openalex_lines(spark, sf_dir), NOW)
+    given = openalex.parse(openalex_lines(spark, sf_dir), NOW)
     once = store_sync.apply_emission(_empty_store(spark), given).store
     store = store_sync.apply_emission(once, given).store
     kinds = store.live_nodes().groupBy(F.concat(F.lit("node "), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
@@ -370,7 +370,7 @@ def infer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
               '{"id":"i","country_code":"XX"}' AS institution, CAST(NULL AS VARCHAR) AS extra FROM part""",
 )
 def curated_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = _of_entity(_openalex_lines(spark, sf_dir), "works")
+    works = _of_entity(openalex_lines(spark, sf_dir), "works")
     at = lambda path: F.get_json_object("value", path)
     return openalex.curate(works, "works").select(
         at("$.id").alias("id"), F.contains("value", F.lit("secret")).alias("has_secret"), F.contains("value", F.lit("referenced_works")).alias("has_refs"),
@@ -427,5 +427,5 @@ def open_access_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
               CAST(p_size AS BIGINT) AS cited_by_count FROM part""",
 )
 def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = _of_entity(_openalex_lines(spark, sf_dir), "works")
+    works = _of_entity(openalex_lines(spark, sf_dir), "works")
     return openalex.summarize(works).withColumn("authors", F.array_join("authors", "; "))

@@ -59,3 +59,20 @@ def test_bibliographic_keys(spark):
         ("a", "JoseGarciaMarquezEtAl1999-state-art-survey"), ("b", "JoseGarciaMarquezEtAl1999-state-art-surveyb"), ("c", "Muller2001-of"), ("d", "Odegard2002-untitled"),
         ("e", "YuriiZhukov1980-o-chislakh"), ("f", "ἈristotelisThomasnd-logos"), ("g", "山田太郎1990-数の本"), ("h", "Anonnd-untitled")
     ]
+
+
+def test_fnv1a_vectors_and_brute_force(spark):
+    # Published test vectors of the 64-bit FNV-1a hash.
+    vectors = {b"": "cbf29ce484222325", b"a": "af63dc4c8601ec8c", b"foobar": "85944171f73967e8"}
+    contents = [*vectors, bytes(range(256)), "naïve ß".encode(), b"\xff" * 5000]
+
+    def plain(content):
+        h = 0xCBF29CE484222325
+        for byte in content:
+            h = (h ^ byte) * 0x100000001B3 % 2**64
+        return f"fnv1a:{h:016x}"
+
+    assert all(plain(c) == f"fnv1a:{v}" for c, v in vectors.items())
+    frame = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(contents)] + [(99, None)], "k int, content binary")
+    got = {r["k"]: r["h"] for r in frame.select("k", artifacts.fnv1a(F.col("content")).alias("h")).collect()}
+    assert got == {k: plain(c) for k, c in enumerate(contents)} | {99: None}

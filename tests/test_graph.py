@@ -3,7 +3,8 @@ import random
 import pytest
 
 from citegraph.operators import graph
-from tests.helpers import rows
+from citegraph.operators.adjacency import Adjacency
+from tests.helpers import rows, rows_read
 
 EDGE = "src_id string, dst_id string, relation string"
 
@@ -83,3 +84,43 @@ def test_edges_of_a_node_are_paged_by_other_end(spark, hub):
     got = graph.edges_of(hub, seeds(spark, "a", "h"), "forward", 1)
     assert rows(got) == [("a", "b", "cites", 2)]
     assert graph.edges_of(hub, seeds(spark, "h"), "backward", None).count() == 3
+
+
+def test_unknown_seeds_are_skipped(spark, hub):
+    nodes = spark.createDataFrame([(n,) for n in "abch"], "canonical_id string")
+    found = graph.neighborhood(hub, seeds(spark, "a", "nobody"), "forward", 1, 200, nodes)
+    assert rows(found.nodes, "canonical_id") == [("a",), ("b",), ("h",)]
+    assert rows(graph.neighborhood(hub, seeds(spark, "nobody"), "forward", 1, 200, nodes).nodes) == []
+
+
+def test_described_nodes_have_kind_and_merged_fields(spark, hub):
+    found = graph.neighborhood(hub, seeds(spark, "a"), "forward", 1, 200)
+    nodes = spark.createDataFrame([("a", "work", None), ("h", "author", None), ("z", "work", None)], "canonical_id string, kind string, merged_into string")
+    claims = spark.createDataFrame(
+        [("a", "p", '{"title":"old"}', "1"), ("a", "q", '{"title":"new","year":3}', "2"), ("z", "p", '{"title":"no"}', "1")],
+        "canonical_id string, source string, attrs string, fetched_at string",
+    )
+    got = {r["canonical_id"]: r for r in graph.describe(found.nodes, nodes, claims).collect()}
+    assert got["a"]["attrs"] == {"title": '"new"', "year": "3"} and got["a"]["provenance"]["title"]["source"] == "q" and got["a"]["kind"] == "work"
+    assert got["h"]["kind"] == "author" and got["h"]["attrs"] is None and got["b"]["kind"] is None and set(got) == {"a", "b", "h"}
+
+
+def test_a_laid_out_graph_walks_as_a_table_and_reads_only_its_frontier(spark, tmp_path):
+    rng = random.Random(3)
+    ring = [(f"r{k:04d}", f"r{(k + 1) % 3000:04d}") for k in range(3000)] + [(f"r{k:04d}", "hub") for k in range(500)]
+    pairs = sorted({(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(90)})
+    layout = Adjacency(spark, str(tmp_path), part_rows=50)
+    for part in (ring, pairs[:50], pairs[30:]):
+        layout.add(spark.createDataFrame([(a, b, "cites") for a, b in part], EDGE))
+    edges = spark.createDataFrame([(a, b, "cites") for a, b in ring + pairs], EDGE)
+    for direction in ("forward", "backward"):
+        for start, cap in ((("n00", "n01"), None), (("n00", "r0007"), 6)):
+            plain, laid = (g.neighborhood(*more, seeds(spark, *start), direction, 2, cap) for g, more in ((graph, (edges,)), (layout, ())))
+            assert plain.truncated == laid.truncated
+            for name in ("nodes", "edges"):
+                assert rows(getattr(laid, name)) == rows(getattr(plain, name))
+    assert rows(layout.edges_of(seeds(spark, "hub"), "backward", 3)) == [(f"r{k:04d}", "hub", "cites", 500) for k in range(3)]
+    one = rows_read(spark, lambda: layout.at(seeds(spark, "r0100")).collect())
+    many = rows_read(spark, lambda: layout.at(seeds(spark, *[f"r{k:04d}" for k in range(0, 3000, 10)])).collect())
+    assert one < 500 and one < many / 4  # of 3,500 edges
+    assert layout.at(seeds(spark, "nobody")).collect() == []

@@ -138,3 +138,18 @@ def test_locators(spark):
         (1, "found", 3), (1, "found", 4), (2, "found", 4), (3, "quote_not_found", None), (4, "empty_quote", None), (5, "found", 3), (6, "quote_not_found", None)
     ]
     assert rows(pages.read_span(pages.locate_printed(asked, table), table), "page_index", "text") == [(2, "alpha"), (3, "Beta"), (4, "beta")]
+
+
+def test_quotes_that_all_begin_alike_meet_few_pages(spark):
+    """Three hundred needles that begin with a word of every page: candidates stay near the hits."""
+    texts = [f"the start of page {k} and the word{k:03d}x closes the page" for k in range(300)]
+    page_table = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(texts)], "doc string, page_index int, text string")
+    needles = [f"the word{k:03d}x" for k in range(0, 600, 2)]
+    asked = spark.createDataFrame([(k, "d", n) for k, n in enumerate(needles)] + [(900, "d", "the"), (901, "d", "th"), (902, "d", ""), (903, "e", "the"), (904, "d", needles[3])], "request_id int, doc string, needle string")
+    got = pages.locate_quotes(asked, page_table).collect()
+    found = {(r["request_id"], r["page_index"]) for r in got if r["status"] == "found"}
+    want = {(k, i + 1) for k, n in enumerate(needles) for i, t in enumerate(texts) if n in t} | {(q, i + 1) for q in (900, 901) for i in range(300)} | {(904, 7)}
+    assert found == want and len([r for r in got if r["status"] == "found"]) == len(want)
+    assert {(r["request_id"], r["status"]) for r in got if r["request_id"] > 901 and r["status"] != "found"} == {(902, "empty_quote"), (903, "quote_not_found")}
+    distinct = spark.createDataFrame([("d", n) for n in needles], "doc string, needle string")
+    assert pages.quote_candidates(distinct, page_table).count() <= 12 * 150
