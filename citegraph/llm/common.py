@@ -75,9 +75,9 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BASE = _U(0xD1342543DE82EF95)
 _BASE_INVERSE = _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _GRAM = _U(0xAF251AF3B0F025B5)
-#: Bytes whose prefix sums are held at a time.
+#: Bytes whose prefix sums are held at a time: spans that begin within a stretch, and may reach into the next.
 STRETCH = 1 << 20
-_UP = np.cumprod(np.concatenate([np.ones(1, _U), np.full(STRETCH, _BASE, _U)]), dtype=_U)
+_UP = np.cumprod(np.concatenate([np.ones(1, _U), np.full(2 * STRETCH, _BASE, _U)]), dtype=_U)
 _DOWN = np.cumprod(np.concatenate([np.ones(1, _U), np.full(STRETCH, _BASE_INVERSE, _U)]), dtype=_U)
 
 
@@ -126,26 +126,32 @@ def segment(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span, equal for equal bytes wherever they lie; spans lie in order and apart.
+    """A hash of each byte span, equal for equal bytes wherever they lie; spans may come in any order and overlap.
 
-    Prefix sums cover a stretch of spans at a time, so a long text takes no more than its bytes and `STRETCH` sums.
+    Prefix sums cover a stretch at a time, so a long text takes no more than its bytes and the sums of two stretches.
     """
     out = np.zeros(len(starts), _U)
-    first = 0
-    while first < len(starts):
-        base = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, base + STRETCH, "right")))
-        at, to = starts[first:last] - base, ends[first:last] - base
-        if to[-1] <= STRETCH:
-            sums = np.zeros(to[-1] + 1, _U)
-            np.cumsum(_BYTE[data[base : base + to[-1]]] * _UP[: to[-1]], out=sums[1:], dtype=_U)
-            out[first:last] = (sums[to] - sums[at]) * _DOWN[at]
-        else:  # one span longer than a stretch: its parts, each raised to its place
-            total = 0
-            for lo in range(0, int(to[0]), STRETCH):
-                part = _BYTE[data[base + lo : base + min(lo + STRETCH, int(to[0]))]]
-                total += int(np.sum(part * _UP[: len(part)], dtype=_U)) * pow(int(_BASE), lo, 1 << 64)
-            out[first] = total % (1 << 64)
+    long = ends - starts > STRETCH
+    for i in np.flatnonzero(long):  # its parts, each raised to its place
+        total = 0
+        for lo in range(int(starts[i]), int(ends[i]), STRETCH):
+            part = _BYTE[data[lo : min(lo + STRETCH, int(ends[i]))]]
+            total += int(np.sum(part * _UP[: len(part)], dtype=_U)) * pow(int(_BASE), lo - int(starts[i]), 1 << 64)
+        out[i] = total % (1 << 64)
+    rising = len(starts) < 2 or bool((starts[1:] >= starts[:-1]).all())
+    order = np.arange(len(starts)) if rising else np.argsort(starts, kind="stable")
+    if long.any():
+        order = order[~long[order]]
+    first, begin = 0, starts[order]
+    while first < len(order):
+        base = begin[first]
+        last = int(np.searchsorted(begin, base + STRETCH, "left"))
+        own = order[first:last]
+        at, to = starts[own] - base, ends[own] - base
+        reach = int(to.max())
+        sums = np.zeros(reach + 1, _U)
+        np.cumsum(_BYTE[data[base : base + reach]] * _UP[:reach], out=sums[1:], dtype=_U)
+        out[own] = (sums[to] - sums[at]) * _DOWN[at]
         first = last
     return mix(out)
 

@@ -18,6 +18,10 @@ def test_spans_hash_as_the_plain_sum_does_also_across_stretches(monkeypatch):
     starts, ends = common.segment(data, np.array([0, len(data)]), common.SOLID_BYTES[data])
     want = [plain_hash(text[i:j]) for i, j in zip(starts, ends)]
     assert common.hash_spans(data, starts, ends).tolist() == want
+    mixed = np.random.default_rng(1).permutation(np.repeat(np.arange(len(starts)), 2))  # any order, repeats, and beginnings of words
+    assert common.hash_spans(data, starts[mixed], ends[mixed]).tolist() == [want[i] for i in mixed]
+    heads = np.concatenate([starts[mixed], starts]), np.concatenate([ends[mixed], starts + 1])
+    assert common.hash_spans(data, *heads).tolist() == [want[i] for i in mixed] + [plain_hash(text[i : i + 1]) for i in starts]
     assert common.hash_spans(data[:0], starts[:0], ends[:0]).tolist() == []
 
 
