@@ -201,13 +201,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that pass, all columns kept. Statistics are computed twice rather than texts shuffled."""
+    """The rows that pass, all columns kept. Rows are written once with their statistics: texts are neither shuffled nor measured twice."""
     full, stat = with_stats(docs, text)
+    full = cut_lineage(full)
     vote = votes(stat)
     model = fit_votes(cut_lineage(vote_patterns(full, vote | {"_words": F.col(stat["n_words"]) > 0}).where("_words")))
-    # A filter moves below the statistics and computes them anew at each mention, unless a column there is not a
-    # function of the row alone; the condition must mention it to keep it.
-    row = fresh_name(full, "row")
-    full = full.withColumn(row, F.monotonically_increasing_id())
-    good = (F.col(row) >= 0) & ~base_failed(stat) & (model.posterior(vote) >= 0.5)
+    good = ~base_failed(stat) & (model.posterior(vote) >= 0.5)
     return full.where(good).select(*[f"`{c}`" for c in docs.columns])
