@@ -235,7 +235,7 @@ def parse_conversations(conversations: DataFrame) -> DataFrame:
     """
     lines = numbered(raw_lines(conversations), "conv_id", "position", "line", "role", "i")
     state = sum((F.when(F.col("role") == r, 2 * k).otherwise(0) for k, r in enumerate(ROLES)), F.lit(0)) + F.when(F.col("i") > 0, 1).otherwise(0)
-    learn = (F.crc32(F.col("conv").cast("binary")) % 4 != 2) & F.col("role").isin(*ROLES)
+    learn = (F.crc32(F.substring("conv", 2, 1 << 30).cast("binary")) % 4 != 2) & F.col("role").isin(*ROLES)
     chain = fit(cut_lineage(lines.where(learn).select("conv", "at", "code", state.cast("int").alias("state"))))
     out = turns(lines, chain)
     return out.select(F.substring("conv", 2, 1 << 30).try_cast("long").alias("conv_id"), "turn", "role", "text", "rendered")

@@ -1,7 +1,7 @@
 """Packing into windows of 4096 tokens: strategies weighted by non-negative least squares.
 
 1. Each text is tokenised; its ids (and an end id) are cut into full windows and a rest. The rest of one
-   document in `POOL` (by a hash of its id) goes to the filler pool, with its ids; other pieces carry no ids.
+   document in `POOL` (by a hash of its row number) goes to the filler pool, with its ids; other pieces carry no ids.
 2. Lengths are counted in bins of 32 tokens, 128 bins. Strategies are multisets of bins that fill a
    window: i pieces of one bin and j of another, and triples. Non-negative least squares finds how often each is
    used so that demand meets the histogram; counts are rounded down and capped by what is there.
@@ -122,7 +122,10 @@ _MARK = np.isin(np.arange(256), [ord(c) for c in '.,!?;:*&%$#"()=+-/'])
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFrame:
-    """Pieces of at most a window: (doc_id, start, length, ids_crc32, doc_tokens, ids); `ids` only in the filler pool."""
+    """Pieces of at most a window: (doc_id, number, start, length, ids_crc32, doc_tokens, ids); `ids` only in the filler pool.
+
+    `number` tells rows apart, whatever their ids; it holds once the result is written.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
@@ -142,12 +145,12 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFra
                 row = pa.array(out.pop("row"), pa.int64())
                 kinds = {"ids": pa.binary()}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(row), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["doc_id", *out]
+                    [part.column("doc_id").take(row), part.column("number").take(row), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["doc_id", "number", *out]
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    source = source.withColumn("pool", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(POOL)) == 0, F.lit(False)))
-    return source.mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    source = source.withColumn("number", F.monotonically_increasing_id()).withColumn("pool", F.pmod(F.xxhash64("number"), F.lit(POOL)) == 0)
+    return source.mapInArrow(rows, "doc_id long, number long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def strategies() -> np.ndarray:
@@ -259,8 +262,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     for row in fixed.groupBy("bin").count().collect():
         histogram[row["bin"]] = row["count"]
     n_blocks = _blocks(int(histogram.sum()))
-    slots = fixed.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks))).withColumn("one", F.lit(1))
-    ranked = _running(slots, "block", ["doc_id", "start", "ids_crc32"], "one", "rank", ("bin",)).drop("block", "one")
+    slots = fixed.withColumn("block", F.pmod(F.xxhash64("number", "start"), F.lit(n_blocks))).withColumn("one", F.lit(1))
+    ranked = _running(slots, "block", ["number", "start"], "one", "rank", ("bin",)).drop("block", "one")
     schema = "bin int, lo long, hi long, window long, per int, place int"
     ranges = spark.createDataFrame(plan(histogram), schema)  # at most a few rows per strategy in use
     met = ranked.join(F.broadcast(ranges), "bin").where("rank >= lo AND rank < hi")
@@ -281,8 +284,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     windows = 0 if last is None else int(last) + 1
     pool = every.where("ids IS NOT NULL")
     # These rows carry their ids, so fewer of them make a block.
-    pool = pool.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(_blocks(10 * pool.count()))))
-    pool = _running(pool, "block", ["doc_id", "start", "ids_crc32"], "length", "from").drop("block", "ids_crc32", "start").withColumn("to", F.col("from") + F.col("length")).drop("length")
+    pool = pool.withColumn("block", F.pmod(F.xxhash64("number", "start"), F.lit(_blocks(10 * pool.count()))))
+    pool = _running(pool, "block", ["number", "start"], "length", "from").drop("block", "ids_crc32", "start", "number").withColumn("to", F.col("from") + F.col("length")).drop("length")
     pool = cut_lineage(pool)
     total = pool.agg(F.max("to")).first()[0] or 0
     # Windows of the pool alone, beyond the free ends.
