@@ -1,7 +1,7 @@
 """Packing into windows of 4096 tokens: strategies weighted by non-negative least squares.
 
 1. Each text is tokenised; its ids (and an end id) are cut into full windows and a rest. The rest of one
-   document in `POOL` (by a hash of its row number) goes to the filler pool, with its ids; other pieces carry no ids.
+   document in `POOL` (by a hash of its id, or of its row number where it has none) goes to the filler pool, with its ids; other pieces carry no ids.
 2. Lengths are counted in bins of 32 tokens, 128 bins. Strategies are multisets of bins that fill a
    window: i pieces of one bin and j of another, and triples. Non-negative least squares finds how often each is
    used so that demand meets the histogram; counts are rounded down and capped by what is there.
@@ -149,7 +149,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFra
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    source = source.withColumn("number", F.monotonically_increasing_id()).withColumn("pool", F.pmod(F.xxhash64("number"), F.lit(POOL)) == 0)
+    source = source.withColumn("number", F.monotonically_increasing_id()).withColumn("pool", F.pmod(F.xxhash64(F.coalesce("doc_id", "number")), F.lit(POOL)) == 0)
     return source.mapInArrow(rows, "doc_id long, number long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
