@@ -5,7 +5,7 @@
 2. Lengths are counted in bins of 32 tokens, 128 bins. Strategies are multisets of bins that fill a
    window: i pieces of one bin and j of another, and triples. Non-negative least squares finds how often each is
    used so that demand meets the histogram; counts are rounded down and capped by what is there.
-3. Pieces left over are packed greedily: as many of one bin as fit.
+3. Pieces left over are packed greedily: windows take the largest bins that fit, one after the other.
 4. Each piece takes the slot of its rank in its bin. A window's free end (bins are upper bounds) is filled from
    the pool, cut freely: free ends and pool pieces are laid along one axis each and joined where
    they overlap. What the pool has left is laid end to end into windows of its own.
@@ -222,11 +222,21 @@ def plan(histogram: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
             used[b] += per * counts[s]
             place += per
         window += int(counts[s])
-    for b in range(1, BINS + 1):  # the greedy rest
-        left, per = int(histogram[b] - used[b]), BINS // b
-        if left:
-            ranges.append((b, int(used[b]), int(histogram[b]), window, per, 0))
-            window += ceil(left / per)
+    left = histogram.astype(np.int64) - used
+    while left.any():  # the greedy rest: largest bins first, a window's pattern as often as it lasts; each turn uses up a bin
+        room, use = BINS, np.zeros(BINS + 1, np.int64)
+        for b in np.flatnonzero(left)[::-1]:
+            use[b] = min(left[b], room // b)
+            room -= use[b] * b
+        own = np.flatnonzero(use)
+        times, place = int((left[own] // use[own]).min()), 0
+        for b in own:
+            per = int(use[b])
+            ranges.append((int(b), int(used[b]), int(used[b] + per * times), window, per, place))
+            used[b] += per * times
+            place += per
+        left -= times * use
+        window += times
     return ranges
 
 
