@@ -427,8 +427,8 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query(
     "E5_fnv1a",
     """SELECT p_partkey, 'fnv1a:' || lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT,
-              list_transform(range(0, octet_length(encode(p_name))), i -> ('0x' || substr(hex(encode(p_name)), 2 * i::INT + 1, 2))::INT::HUGEINT)),
-              (h, b) -> xor(h, b) * 1099511628211 % 18446744073709551616)::UBIGINT)), 16, '0') AS content_hash FROM part""",
+              list_transform(range(0, octet_length(encode(p_name))), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i::INT + 1, 2))::INT::HUGEINT)),
+              lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616)::UBIGINT)), 16, '0') AS content_hash FROM part""",
 )
 def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select("p_partkey", artifacts.fnv1a(F.encode(F.col("p_name"), "UTF-8")).alias("content_hash"))
