@@ -266,3 +266,29 @@ def tallies(nodes: DataFrame, assertions: DataFrame, edges: DataFrame) -> DataFr
 def without_alias(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Live nodes nobody can address."""
     return nodes.where(F.col("merged_into").isNull()).join(aliases, "canonical_id", "left_anti")
+
+
+# ── counts at several levels ─────────────────────────────────────────────────
+
+#: Relative standard error of a distinct count is about 1.04 / sqrt(2^LG_K).
+LG_K = 14
+LEVELS = (("kind", "source"), ("kind",), ("source",), ())
+
+
+def claim_sketches(nodes: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(kind, source, claims, works SKETCH) of one snapshot: what later snapshots can be added to."""
+    kinds = nodes.select("canonical_id", "kind")
+    claimed = assertions.select("canonical_id", "source").join(kinds, "canonical_id")
+    return claimed.groupBy("kind", "source").agg(F.count(F.lit(1)).alias("claims"), F.hll_sketch_agg("canonical_id", F.lit(LG_K)).alias("works"))
+
+
+def level_counts(sketches: DataFrame) -> DataFrame:
+    """(level, kind, source, claims, works): sketches of any number of snapshots merged at each of `LEVELS`.
+
+    `claims` is exact; `works` estimates the different nodes. `level` says which of kind and source a row is for.
+    """
+    keys = [[F.col(c) for c in level] for level in LEVELS]
+    merged = sketches.groupingSets(keys, F.col("kind"), F.col("source")).agg(
+        F.grouping_id().alias("level"), F.sum("claims").alias("claims"), F.hll_sketch_estimate(F.hll_union_agg("works")).alias("works")
+    )
+    return merged.select("level", "kind", "source", "claims", "works")

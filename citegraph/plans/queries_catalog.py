@@ -488,3 +488,22 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all vectors by cosine, for every vector whose id is divisible by 100."""
     vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return semantic.nearest(semantic.build(vectors), vectors.where("vec_id % 100 = 0"), exact=True).select("query_id", "rank", "id")
+
+
+@REG.query(
+    "C11_level_counts",
+    with_views(
+        "nodes",
+        """SELECT grouping_id(kind, source) AS level, kind, source, count(*) AS claims, true AS works_within_error
+           FROM (SELECT 'p' || p_partkey AS canonical_id, unnest(['alpha', 'beta']) AS source FROM part) JOIN nodes USING (canonical_id)
+           GROUP BY GROUPING SETS ((kind, source), (kind), (source), ())""",
+    ),
+)
+def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of claims that overlap, each sketched and then merged; the estimate of different works is held against the count."""
+    nodes, claims = fx.nodes(spark, sf_dir), fx.work_assertions(spark, sf_dir)
+    parts = [claims.where("source = 'alpha'"), claims.where("source = 'beta'")]
+    merged = catalog.level_counts(reduce(DataFrame.unionByName, [catalog.claim_sketches(nodes, part) for part in parts]))
+    works = fx.table(spark, sf_dir, "part").agg(F.count_distinct("p_partkey").alias("exact"))
+    within = F.abs(F.col("works") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (catalog.LG_K / 2) * F.col("exact"))
+    return merged.crossJoin(F.broadcast(works)).select("level", "kind", "source", "claims", within.alias("works_within_error"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegraph.operators import graph
+from citegraph.operators import expand, graph
 from citegraph.operators.adjacency import Adjacency
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
@@ -335,3 +335,29 @@ def neighborhood_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "canonical_id", "depth", "in_degree", F.substring(title, F.lit(2), F.length(title) - 2).alias("title"), F.coalesce(F.size("attrs"), F.lit(0)).alias("n_fields"), "kind"
     ).withColumn("n_fields", F.greatest("n_fields", F.lit(0)))
+
+
+def _mass_sql(rounds: int) -> str:
+    """The rounds of `expand.spread_mass`, one table each."""
+    out = [f"m0 AS (SELECT canonical_id AS id, {expand.UNIT}::BIGINT AS mass FROM seeds)", "steps AS (SELECT DISTINCT src_id AS near, dst_id AS far FROM edge)",
+           "degree AS (SELECT near, count(*) AS n FROM steps GROUP BY near)"]
+    for k in range(rounds):
+        part = f"(mass * {expand.SPREAD} // 100) // n"
+        out.append(f"""m{k + 1} AS (SELECT id, sum(mass)::BIGINT AS mass FROM (
+          SELECT id, mass - coalesce(n, 0) * coalesce({part}, 0) AS mass FROM m{k} LEFT JOIN degree ON near = id
+          UNION ALL SELECT far, {part} FROM m{k} JOIN degree ON near = id JOIN steps USING (near)) GROUP BY id)""")
+    return ", ".join(out)
+
+
+@REG.query(
+    "D10_expand",
+    with_views(
+        "edge",
+        f"SELECT id AS canonical_id, mass FROM m{expand.ROUNDS} WHERE mass > 0 AND id NOT IN (SELECT canonical_id FROM seeds) ORDER BY mass DESC, id LIMIT 500",
+        extra=SEEDS_SQL + ", " + _mass_sql(expand.ROUNDS),
+    ),
+)
+def expand_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget is the feature: five hundred nodes to read next, for a segment's orders."""
+    edges = cut_lineage(graph.distinct_edges(fx.edge_in(spark, sf_dir)))
+    return expand.proposals(expand.steps_of(edges), _seeds(spark, sf_dir), 500)

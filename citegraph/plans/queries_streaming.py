@@ -13,7 +13,7 @@ from citegraph.plans.queries_sources import NOW, openalex_lines
 from citegraph.plans.registry import Registry
 from citegraph.session import work_folder
 from citegraph.sources import openalex
-from citegraph.streaming import coalesce, emissions, ingest, latest
+from citegraph.streaming import coalesce, emissions, ingest, latest, refresh
 
 REG = Registry()
 BATCHES, SLICES = 3, 4
@@ -89,15 +89,12 @@ def coalesce_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SENTINEL = "end of input"
 
 
-@REG.query("I2_coalesce_stream", BURSTS_SQL)
-def coalesce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream that takes a slice of time per batch, a few rows late but within the lateness.
+def _sliced_stream(spark: SparkSession, changes: DataFrame, root: str, job, schema: str) -> DataFrame:
+    """Run `job` over changes (key, ts) as a stream that takes a slice of time per batch, a few rows late but within half an hour.
 
     All slices are laid out by one write, each as many files as there are tasks; a slice is given to the stream by a
-    rename. A sentinel long after the last change moves the watermark past every burst; it is no burst itself.
+    rename. A sentinel long after the last change moves the watermark past everything; it is no result itself.
     """
-    root = work_folder(spark, "bursts")
-    changes = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     span = changes.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     width = max(1, (hi - lo + SLICES) // SLICES)
@@ -105,7 +102,7 @@ def coalesce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrives = F.unix_micros("ts") + F.when(late, 1_800_000_000).otherwise(0)
     placed = changes.withColumn("slice", F.least(F.floor((arrives - lo) / width), F.lit(SLICES)).cast("int"))
     after = spark.range(2).select(
-        F.lit(SENTINEL).alias("key"), F.timestamp_micros(F.lit(hi + 86_400_000_000) * (1 + F.col("id") * 0)).alias("ts"), (F.lit(SLICES + 1) + F.col("id")).cast("int").alias("slice")
+        F.lit(SENTINEL).alias("key"), F.timestamp_micros(F.lit(hi + 40 * 86_400_000_000) * (1 + F.col("id") * 0)).alias("ts"), (F.lit(SLICES + 1) + F.col("id")).cast("int").alias("slice")
     )
     placed.unionByName(after).write.partitionBy("slice").parquet(f"{root}/slices")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -116,16 +113,41 @@ def coalesce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             continue
         fs.rename(path(f"{root}/slices/slice={k}"), path(f"{root}/input/{k}"))
         stream = spark.readStream.schema("key string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{root}/input")
-        bursts = coalesce.coalesce_stream(stream, "10 minutes", "1 hour")
         query = (
-            bursts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+            job(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    out = spark.read.schema("key string, first_ts timestamp, last_ts timestamp, changes long").parquet(f"{root}/out").where(F.col("key") != SENTINEL)
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+@REG.query("I2_coalesce_stream", BURSTS_SQL)
+def coalesce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream."""
+    changes = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _sliced_stream(
+        spark, changes, work_folder(spark, "bursts"), lambda rows: coalesce.coalesce_stream(rows, "10 minutes", "1 hour"),
+        "key string, first_ts timestamp, last_ts timestamp, changes long",
+    ).where(F.col("key") != SENTINEL)
     return out.select("key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "changes")
 
 
+@REG.query(
+    "I4_refresh_due",
+    """SELECT canonical_id, min(us) AS since_us, max(us) + 172800000000 AS due_us, count(*) AS claims FROM (
+         SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY canonical_id ORDER BY us, event_id) AS period FROM (
+           SELECT *, lag(us) OVER (PARTITION BY canonical_id ORDER BY us, event_id) AS prev FROM (
+             SELECT 'u' || user_id AS canonical_id, epoch_us(ts) AS us, event_id FROM events))) GROUP BY canonical_id, period""",
+)
+def refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a user stays fresh for two days after each event; periods come out of a stream with late rows."""
+    claims = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    job = lambda rows: refresh.fresh_periods(rows.withColumnRenamed("key", "canonical_id"), "2 days", "1 hour")
+    schema = "canonical_id string, since timestamp, last_claim timestamp, due_at timestamp, claims long"
+    out = _sliced_stream(spark, claims, work_folder(spark, "refresh"), job, schema).where(F.col("canonical_id") != SENTINEL)
+    return out.select("canonical_id", F.unix_micros("since").alias("since_us"), F.unix_micros("due_at").alias("due_us"), "claims")
+
+
 @REG.query(
     "I3_latest_assertion",
     f"""SELECT canonical_id, source, fetched_at FROM (

@@ -170,3 +170,18 @@ def test_delete_takes_the_redirect_network(spark):
     left, keys = store_sync.delete_works(store, asked)
     assert rows(keys) == [("live/fulltext/v1",)]
     assert rows(left.nodes, "canonical_id") == [("other",)] and left.edge_assertions.count() == 1 and left.aliases.count() == 1
+
+
+def test_sketches_of_snapshots_merge_at_every_level(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "work" if k % 3 else "author", None) for k in range(3000)], "canonical_id string, kind string, merged_into string")
+    claims = [(f"n{k}", source, "{}", "1") for k in range(3000) for source in (("p", "q") if k % 2 else ("p",))]
+    parts = [spark.createDataFrame(claims[i::2] + claims[:100], "canonical_id string, source string, attrs string, fetched_at string") for i in range(2)]
+    sketches = catalog.claim_sketches(nodes, parts[0]).unionByName(catalog.claim_sketches(nodes, parts[1]))
+    got = {(r["kind"], r["source"]): r for r in catalog.level_counts(sketches).collect()}
+    assert len(got) == 2 * 2 + 2 + 2 + 1
+    kind = lambda i: "work" if int(i[1:]) % 3 else "author"
+    every = claims + claims[:100] * 2
+    for (k, s), row in got.items():
+        own = [c for c in every if k in (None, kind(c[0])) and s in (None, c[1])]
+        assert row["claims"] == len(own) and row["level"] == 2 * (k is None) + (s is None)
+        assert abs(row["works"] - len({c[0] for c in own})) <= 0.05 * len(own)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from citegraph.operators import graph
+from citegraph.operators import expand, graph
 from citegraph.operators.adjacency import Adjacency
 from tests.helpers import rows, rows_read
 
@@ -124,3 +124,25 @@ def test_a_laid_out_graph_walks_as_a_table_and_reads_only_its_frontier(spark, tm
     many = rows_read(spark, lambda: layout.at(seeds(spark, *[f"r{k:04d}" for k in range(0, 3000, 10)])).collect())
     assert one < 500 and one < many / 4  # of 3,500 edges
     assert layout.at(seeds(spark, "nobody")).collect() == []
+
+
+def test_mass_spreads_without_loss_through_a_hub(spark):
+    pairs = [("a", f"x{k:03d}") for k in range(300)] + [(f"x{k:03d}", "hub") for k in range(300)] + [("hub", f"y{k}") for k in range(7)] + [("b", "y0"), ("b", "a"), ("s", "s")]
+    edges = spark.createDataFrame([(x, y, r) for x, y in pairs for r in ("cites", "contains")], EDGE)
+    start = ["a", "b", "s", "nobody"]
+    want, out = {i: expand.UNIT for i in start}, {}
+    for x, y in pairs:
+        out.setdefault(x, set()).add(y)
+    for _ in range(3):
+        new = {}
+        for i, m in want.items():
+            n = len(out.get(i, ()))
+            part = m * expand.SPREAD // 100 // n if n else 0
+            new[i] = new.get(i, 0) + m - n * part
+            for y in out.get(i, ()):
+                new[y] = new.get(y, 0) + part
+        want = new
+    got = dict(rows(expand.spread_mass(expand.steps_of(edges), seeds(spark, *start))))
+    assert got == want and sum(got.values()) == 4 * expand.UNIT
+    best = [tuple(r) for r in expand.proposals(expand.steps_of(edges), seeds(spark, *start), 9).collect()]
+    assert best == sorted(((i, m) for i, m in want.items() if i not in start and m), key=lambda r: (-r[1], r[0]))[:9]

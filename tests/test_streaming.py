@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from citegraph.operators import identity
-from citegraph.streaming import coalesce, ingest, latest
+from citegraph.streaming import coalesce, ingest, latest, refresh
 from tests.helpers import rows
 
 RECORD = "record_id string, seq int, scheme string, value string"
@@ -73,3 +73,12 @@ def test_bursts_match_brute_force_and_the_stream(spark, tmp_path):
     query.awaitTermination()
     seen = {(r["first_ts"], r["changes"]) for r in spark.sql("SELECT * FROM bursts").collect()}
     assert len(seen) >= len(want) - 1 and seen <= {(w[0], w[2]) for w in want}
+
+
+def test_a_node_is_due_a_while_after_its_newest_claim(spark):
+    at = lambda day: dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc)
+    claims = spark.createDataFrame([("a", at(1)), ("a", at(3)), ("a", at(2)), ("a", at(9)), ("b", at(5))], "canonical_id string, ts timestamp")
+    periods = refresh.fresh_periods(claims, "2 days")
+    got = periods.select("canonical_id", F.dayofmonth("since").alias("s"), F.dayofmonth("last_claim").alias("l"), F.dayofmonth("due_at").alias("d"), "claims")
+    assert rows(got) == [("a", 1, 3, 5, 3), ("a", 9, 9, 11, 1), ("b", 5, 5, 7, 1)]
+    assert rows(refresh.due(periods, "2024-01-10 00:00:00"), "canonical_id") == [("b",)]
