@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegraph.functions.ranking import best_row, smallest_rows
+from citegraph.session import cut_lineage
 
 # Filter keys answered by columns of a local works table.
 WORK_FILTER_KEYS = ("title", "publication_year", "type", "language", "cited_by_count", "doi", "is_oa", "concepts.id")
@@ -101,6 +102,31 @@ def work_views(
     return live.join(parts, "canonical_id")
 
 
+def views_by_alias(
+    requested: DataFrame, nodes: DataFrame, assertions: DataFrame, aliases: DataFrame, artifacts: DataFrame | None = None
+) -> DataFrame:
+    """(scheme, value, canonical_id, kind, part, key, text, source, fetched_at): the views of the nodes that aliases (scheme, value) name.
+
+    Any alias of a node will do, those of nodes merged into it too; unknown ones give nothing. `text` is the JSON of a field, the
+    value of an alias, and for an artifact the JSON of its whole descriptor. Only the claims of nodes asked for are parsed.
+    """
+    from citegraph.operators.identity import ALIAS_KEY, lookup, resolve_live
+
+    live = resolve_live(nodes)
+    found = cut_lineage(lookup(requested.select(*ALIAS_KEY).distinct(), aliases, live).where("is_known").select(*ALIAS_KEY, F.col("live_id").alias("canonical_id")))
+    ids = found.select("canonical_id").distinct()
+    asked = lambda table: table.join(ids, "canonical_id", "left_semi")
+    named = aliases.join(live, "canonical_id").select(*ALIAS_KEY, F.col("live_id").alias("canonical_id"))
+    views = work_views(asked(nodes), asked(assertions), asked(named)).withColumnRenamed("value", "text")
+    if artifacts is not None:
+        current = asked(artifacts.where("is_current"))
+        described = F.to_json(F.struct(*[c for c in artifacts.columns if c not in ("canonical_id", "role")]))
+        none = F.lit(None).cast("string")
+        held = current.select("canonical_id", F.lit("artifact").alias("part"), F.col("role").alias("key"), described.alias("text"), none.alias("source"), none.alias("fetched_at"))
+        views = views.unionByName(asked(nodes).select("canonical_id", "kind").join(held, "canonical_id"))
+    return found.join(views, "canonical_id").select(*ALIAS_KEY, "canonical_id", "kind", "part", "key", "text", "source", "fetched_at")
+
+
 # ── search ───────────────────────────────────────────────────────────────────
 
 

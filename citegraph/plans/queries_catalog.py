@@ -507,3 +507,43 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = fx.table(spark, sf_dir, "part").agg(F.count_distinct("p_partkey").alias("exact"))
     within = F.abs(F.col("works") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (catalog.LG_K / 2) * F.col("exact"))
     return merged.crossJoin(F.broadcast(works)).select("level", "kind", "source", "claims", within.alias("works_within_error"))
+
+
+@REG.query(
+    "C2_view_by_alias",
+    with_views(
+        "aliases nodes",
+        """SELECT r.scheme, r.value, v.* FROM asked r JOIN (
+             SELECT canonical_id, 'field' AS part, key, value AS text, source FROM claims
+             UNION ALL SELECT canonical_id, 'alias', scheme, value, NULL FROM aliases
+             UNION ALL SELECT canonical_id, 'artifact', role, 'descriptor', NULL FROM held) v USING (canonical_id)""",
+        extra=WORK_SQL + "," + HELD_SQL + """,
+asked AS (SELECT scheme, value, canonical_id FROM aliases WHERE scheme = 'doi' OR (scheme = 'openalex' AND canonical_id LIKE 's%'))""",
+    ),
+)
+def view_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by their `doi` and suppliers by their id, and an alias that nobody has."""
+    aliases = fx.aliases(spark, sf_dir)
+    asked = aliases.where("scheme = 'doi' OR (scheme = 'openalex' AND canonical_id LIKE 's%')").select("scheme", "value")
+    asked = asked.unionByName(spark.createDataFrame([("doi", "nobody's")], "scheme string, value string"))
+    views = catalog.views_by_alias(asked, fx.nodes(spark, sf_dir), fx.work_assertions(spark, sf_dir), aliases, _held_artifacts(spark, sf_dir))
+    text = F.when((F.col("part") == "artifact") & F.col("text").contains('"version":1'), "descriptor").otherwise(F.col("text"))
+    return views.select("scheme", "value", "canonical_id", "part", "key", text.alias("text"), "source")
+
+
+@REG.query(
+    "A16_export_flat",
+    with_views(
+        "nodes aliases",
+        """SELECT 'node' AS what, canonical_id, kind AS a, '' AS b FROM nodes WHERE merged_into IS NULL
+           UNION ALL SELECT 'alias', canonical_id, scheme, value FROM aliases SEMI JOIN (SELECT * FROM nodes WHERE merged_into IS NULL) USING (canonical_id)
+           UNION ALL SELECT 'assertion', 'p' || p_partkey, unnest(['alpha', 'beta']), unnest(['2024-01-01T00:00:00Z', '2024-06-01T00:00:00Z']) FROM part""",
+    ),
+)
+def export_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, aliases and assertions as rows of their own."""
+    out = snapshots.export_flat(fx.nodes(spark, sf_dir), fx.aliases(spark, sf_dir), fx.work_assertions(spark, sf_dir))
+    label = lambda table, what, a, b: table.select(F.lit(what).alias("what"), "canonical_id", F.col(a).alias("a"), b.alias("b"))
+    return label(out["nodes"], "node", "kind", F.lit("")).unionByName(label(out["aliases"], "alias", "scheme", F.col("value"))).unionByName(
+        label(out["assertions"], "assertion", "source", F.col("fetched_at"))
+    )

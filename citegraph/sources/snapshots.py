@@ -31,6 +31,21 @@ def export_nodes(nodes: DataFrame, aliases: DataFrame, assertions: DataFrame, pa
     return live.join(children, "canonical_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
 
+def export_flat(nodes: DataFrame, aliases: DataFrame, assertions: DataFrame) -> dict[str, DataFrame]:
+    """Live nodes and, as rows of their own, their aliases and assertions: the same shape however many a node has.
+
+    Each table is range-partitioned and sorted by its key, so that a reader joins them by merging and prunes by id.
+    """
+    live = nodes.where(F.col("merged_into").isNull()).select("canonical_id", "kind")
+    of_live = lambda table, *columns: table.select("canonical_id", *columns).join(live.select("canonical_id"), "canonical_id", "left_semi")
+    laid = lambda table, *key: table.repartitionByRange(*key).sortWithinPartitions(*key)
+    return {
+        "nodes": laid(live, "canonical_id"),
+        "aliases": laid(of_live(aliases, "scheme", "value"), "canonical_id", "scheme", "value"),
+        "assertions": laid(of_live(assertions, "source", "fetched_at", "attrs"), "canonical_id", "source"),
+    }
+
+
 def export_edge_assertions(edge_assertions: DataFrame) -> DataFrame:
     """Every edge assertion, range-partitioned and sorted by its key for pruned reads."""
     key = ["src_id", "dst_id", "relation", "source"]

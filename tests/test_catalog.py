@@ -185,3 +185,14 @@ def test_sketches_of_snapshots_merge_at_every_level(spark):
         own = [c for c in every if k in (None, kind(c[0])) and s in (None, c[1])]
         assert row["claims"] == len(own) and row["level"] == 2 * (k is None) + (s is None)
         assert abs(row["works"] - len({c[0] for c in own})) <= 0.05 * len(own)
+
+
+def test_views_by_any_alias(spark):
+    nodes = spark.createDataFrame([("a", "work", None), ("b", "work", "a"), ("c", "author", None)], "canonical_id string, kind string, merged_into string")
+    aliases = spark.createDataFrame([("doi", "1", "a"), ("pmid", "2", "b"), ("orcid", "3", "c")], "scheme string, value string, canonical_id string")
+    stated = claims(spark, ("a", "p", '{"title":"t"}', "1"), ("c", "p", '{"name":"n"}', "1"))
+    held = spark.createDataFrame([("a", "fulltext", 2, True, "k2"), ("a", "fulltext", 1, False, "k1")], "canonical_id string, role string, version int, is_current boolean, key string")
+    asked = spark.createDataFrame([("pmid", "2"), ("pmid", "2"), ("doi", "9")], "scheme string, value string")
+    got = rows(catalog.views_by_alias(asked, nodes, stated, aliases, held), "scheme", "value", "canonical_id", "kind", "part", "key", "text")
+    own = ("pmid", "2", "a", "work")
+    assert got == sorted([(*own, "alias", "doi", "1"), (*own, "alias", "pmid", "2"), (*own, "artifact", "fulltext", '{"version":2,"is_current":true,"key":"k2"}'), (*own, "field", "title", '"t"')])
