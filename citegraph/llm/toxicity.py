@@ -33,7 +33,7 @@ DEPTH = 4
 FEATURES = 600
 THRESHOLD = 0.3
 #: Correlation of two voters over all texts that makes them the same voter, and within a class that makes them related.
-SAME, RELATED = 0.8, 0.3
+SAME, RELATED = 0.8, 0.5
 #: Grams that may become voters or features: those that tell the classes apart best in the sample (and the lexicon).
 CANDIDATES = 4000
 _U = np.uint64
