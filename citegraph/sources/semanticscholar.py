@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citegraph.functions.id_columns import alias_struct, bare_doi, strip_prefix
+from citegraph.session import cut_lineage
 from citegraph.sources.emission import Emission, present
 
 SOURCE = "semanticscholar"
 _PAPER_IDS = "externalIds:struct<DOI:string,ArXiv:string,MAG:string,PubMed:string,PubMedCentral:string,CorpusId:string>"
 PAPER_SCHEMA = f"paperId string, {_PAPER_IDS.replace(':', ' ', 1)}"
+#: What names the end of an edge.
+_END_SCHEMA = "paperId string, externalIds struct<DOI:string>"
 AUTHOR_SCHEMA = "authorId string, externalIds struct<ORCID:string>"
 
 # Fields kept in the curated form; the abstract only when asked for.
@@ -74,12 +77,18 @@ def parse_citation_pages(pages: DataFrame, role: str, fetched_at: str) -> Emissi
     if role not in ("citingPaper", "citedPaper"):
         raise ValueError("role must be citingPaper or citedPaper")
     page_schema = f"data array<struct<{role}:string>>"
-    items = pages.select("seed", F.explode(F.from_json("value", page_schema)["data"]).alias("d")).select(
-        F.from_json("seed", PAPER_SCHEMA).alias("seed"), F.col(f"d.{role}").alias("value")
+    # A page and a paper are parsed once: each alias is the element of an array that is exploded, which no filter is
+    # pushed through and no projection repeats. The seed is parsed before its page is taken apart.
+    once = lambda column: F.explode(F.array(column))
+    seeds = pages.select(once(best_paper_alias(F.from_json("seed", _END_SCHEMA))).alias("seed_alias"), "value")
+    items = seeds.select("seed_alias", F.explode(F.from_json("value", page_schema)["data"]).alias("d")).select(
+        "seed_alias", F.col(f"d.{role}").alias("value")
     ).where(F.col("value").isNotNull())
-    ends = items.withColumn("seed_alias", best_paper_alias(F.col("seed"))).withColumn(
-        "other_alias", best_paper_alias(F.from_json("value", PAPER_SCHEMA))
+    ends = items.select("seed_alias", once(F.from_json("value", _END_SCHEMA)).alias("paper")).select(
+        "seed_alias", once(best_paper_alias(F.col("paper"))).alias("other_alias")
     )
+    # Edges and the count of what is skipped read the written ends.
+    ends = cut_lineage(ends)
     src, dst = ("other_alias", "seed_alias") if role == "citingPaper" else ("seed_alias", "other_alias")
     known = F.col("seed_alias").isNotNull() & F.col("other_alias").isNotNull()
     edges = ends.where(known).select(
