@@ -145,8 +145,8 @@ class Ledger:
     # ── writing ──────────────────────────────────────────────────────────────
 
     def _write(self, layout: Layout, rows: DataFrame, run: str) -> int:
-        """Lay rows out in parts; returns how many parts there are, 0 without rows."""
-        rows = cut_lineage(rows.select(*layout.columns, "gone", "batch"))
+        """Lay rows out in parts; returns how many parts there are, 0 without rows. Rows are read twice: written ones are best."""
+        rows = rows.select(*layout.columns, "gone", "batch")
         count = rows.count()
         if not count:
             return 0
@@ -162,7 +162,12 @@ class Ledger:
         if batch <= now.batch:
             return False
         name = f"{batch:012d}-{uuid.uuid4().hex[:8]}"
-        parts = {table: self._write(self.layouts[table], rows.withColumn("batch", F.lit(batch).cast("long")), name) for table, rows in deltas.items()}
+        parts, written = {}, {}
+        for table, rows in deltas.items():
+            columns = (*self.layouts[table].columns, "gone")
+            if (id(rows), columns) not in written:  # rows that go into several layouts are computed once
+                written[id(rows), columns] = cut_lineage(rows.select(*columns, F.lit(batch).cast("long").alias("batch")))
+            parts[table] = self._write(self.layouts[table], written[id(rows), columns], name)
         self._publish(Manifest(now.version + 1, batch, [*now.runs, Run(name, 0, parts)]))
         return True
 
@@ -179,7 +184,7 @@ class Ledger:
             parts = {}
             for layout in self.layouts.values():
                 rows = self._newest(layout, tail)
-                parts[layout.name] = self._write(layout, rows.where("NOT gone") if first else rows, name)
+                parts[layout.name] = self._write(layout, cut_lineage(rows.where("NOT gone") if first else rows), name)
             self._publish(Manifest(now.version + 1, now.batch, [*now.runs[: -self.fan], Run(name, tail[0].level + 1, parts)]))
             merges += 1
 
