@@ -44,6 +44,11 @@ class EdgeWrite:
     counted: DataFrame
 
 
+def stub_nodes(stub_aliases: DataFrame) -> DataFrame:
+    """The `work` nodes of stub aliases."""
+    return stub_aliases.select("canonical_id", F.lit("work").alias("kind"), F.lit(None).cast("string").alias("merged_into")).distinct()
+
+
 def put_edges(edge_inputs: DataFrame, live_aliases: DataFrame) -> EdgeWrite:
     """Resolve both ends of each edge to live nodes; an unknown end becomes a `work` stub.
 
@@ -62,23 +67,14 @@ def put_edges(edge_inputs: DataFrame, live_aliases: DataFrame) -> EdgeWrite:
         out = out.join(
             side, (F.col(f"{end}.scheme") == F.col(f"_{end}_s")) & (F.col(f"{end}.value") == F.col(f"_{end}_v")), "left"
         ).withColumn(f"{end}_id", F.coalesce(f"_{end}_known", stub(end)))
-    ends = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.col(f"{end}.scheme").alias("scheme"), F.col(f"{end}.value").alias("value"),
-                    F.col(f"{end}_id").alias("canonical_id"), F.col(f"_{end}_known").isNull().alias("is_new"),
-                )
-                for end in ("src", "dst")
-            ]
-        )
+    # Ends are made distinct before the shuffle and then looked up; the edges themselves are not joined again for them.
+    ends = edge_inputs.select(F.explode(F.array(*[F.struct(f"{end}.scheme", f"{end}.value") for end in ("src", "dst")])).alias("e")).select("e.*").distinct()
+    stubs = ends.join(known.where(F.col("canonical_id").isNotNull()), ["scheme", "value"], "left_anti").select(
+        "scheme", "value", minted_id(F.concat_ws(":", "scheme", "value")).alias("canonical_id")
     )
-    stubs = out.select(ends.alias("e")).select("e.*").where("is_new").select("scheme", "value", "canonical_id").distinct()
     return EdgeWrite(
         claims=out.select(*EDGE_KEY, "source", "fetched_at", "attrs", "seq"),
-        stub_nodes=stubs.select(
-            "canonical_id", F.lit("work").alias("kind"), F.lit(None).cast("string").alias("merged_into")
-        ).distinct(),
+        stub_nodes=stub_nodes(stubs),
         stub_aliases=stubs,
         counted=edge_inputs.agg(F.count(F.lit(1)).alias("written")),
     )

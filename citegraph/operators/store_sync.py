@@ -45,12 +45,12 @@ def apply_emission(store: Store, emission: Emission) -> Applied:
 
     Every table of the result is written once. Applying the same emission again changes nothing.
     """
-    records = cut_lineage(emission.records)
+    records, edges = cut_lineage(emission.records), cut_lineage(emission.edges)
     live = resolve_live(store.nodes)
     known = store.aliases.join(live, "canonical_id").select(*ALIAS_KEY, F.col("live_id").alias("canonical_id"))
     done = identity.resolve_identity(record_aliases(records), known, records.select("record_id", "seq", "kind"))
     done.redirects, done.record_nodes = cut_lineage(done.redirects), cut_lineage(done.record_nodes)
-    return Applied(write_resolved(store, records, emission.edges, done), done.record_nodes)
+    return Applied(write_resolved(store, records, edges, done), done.record_nodes)
 
 
 def write_resolved(store: Store, records: DataFrame, edges: DataFrame, done: identity.Resolution) -> Store:
@@ -58,8 +58,10 @@ def write_resolved(store: Store, records: DataFrame, edges: DataFrame, done: ide
     redirects, record_nodes = done.redirects, done.record_nodes
     # A record without aliases mints the same id each time, so ids already there are not added again.
     held = store.nodes.select("canonical_id")
-    nodes = identity.merge_nodes(store.nodes, redirects).unionByName(
-        done.new_nodes.select("canonical_id", "kind", "merged_into").join(held, "canonical_id", "left_anti")
+    nodes = cut_lineage(
+        identity.merge_nodes(store.nodes, redirects).unionByName(
+            done.new_nodes.select("canonical_id", "kind", "merged_into").join(held, "canonical_id", "left_anti")
+        )
     )
     moved = identity.merge_aliases(store.aliases, redirects)
     aliases = moved.unionByName(done.aliases.select(*ALIAS_KEY, "canonical_id").join(moved.select(*ALIAS_KEY), ALIAS_KEY, "left_anti"))
@@ -75,10 +77,11 @@ def write_resolved(store: Store, records: DataFrame, edges: DataFrame, done: ide
     old_edges = identity.merge_edge_assertions(store.edge_assertions, redirects)
     new_edges = cut_lineage(graph.edge_assertions(written.claims))
     edge_assertions = old_edges.select(*new_edges.columns).join(new_edges, [*graph.EDGE_KEY, "source"], "left_anti").unionByName(new_edges)
-    stubs = written.stub_nodes.join(nodes.select("canonical_id"), "canonical_id", "left_anti")
+    stub_aliases = cut_lineage(written.stub_aliases.select(*ALIAS_KEY, "canonical_id"))
+    stubs = graph.stub_nodes(stub_aliases).join(nodes.select("canonical_id"), "canonical_id", "left_anti")
     return Store(
         nodes=cut_lineage(nodes.unionByName(stubs)),
-        aliases=cut_lineage(aliases.unionByName(written.stub_aliases.select(*ALIAS_KEY, "canonical_id"))),
+        aliases=cut_lineage(aliases.unionByName(stub_aliases)),
         assertions=cut_lineage(assertions),
         edge_assertions=cut_lineage(edge_assertions),
         artifacts=cut_lineage(identity.merge_artifacts(store.artifacts, redirects)),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from citegraph.session import cut_lineage
+
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, its narrow rows dealt over all cores by the first before they are made wide: it may lie in one row group, which is one task.
+
+    They are written: filters on what is made of them would otherwise be pushed below the exchange, and the making with them.
+    """
+    return cut_lineage(table(spark, sf_dir, name).select(*columns).repartition(columns[0]))
+
+
 def _id(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 

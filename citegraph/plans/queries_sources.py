@@ -12,6 +12,7 @@ from citegraph.operators import store_sync
 from citegraph.plans import fixtures as fx
 from citegraph.plans.oracle_views import with_views
 from citegraph.plans.registry import Registry
+from citegraph.session import cut_lineage
 from citegraph.sources import arxiv, emission, manual, openalex, references, semanticscholar
 
 REG = Registry()
@@ -31,7 +32,8 @@ def openalex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: fx.table(spark, sf_dir, name)
     doi = F.concat(F.lit("https://doi.org/10.1/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), _text("p_partkey"))
     mag = F.when(F.col("p_partkey") % 2 == 0, _text("p_partkey")).otherwise(F.concat(F.lit('"'), _text("p_partkey"), F.lit('"')))
-    works = t("part").select(
+    spread = lambda name, *columns: fx.spread(spark, sf_dir, name, *columns)
+    works = spread("part", "p_partkey", "p_name", "p_size", "p_type", "p_brand").select(
         F.concat(
             F.lit('{"id":"'), _url("W", "p_partkey"), F.lit('","ids":{"doi":"'), doi, F.lit('","mag":'), mag,
             F.lit('},"display_name":"'), "p_name", F.lit('","publication_year":'), (F.col("p_size") + 1980).cast("string"),
@@ -43,10 +45,10 @@ def openalex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("value")
     )
     orcid = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(',"orcid":"https://orcid.org/0000-'), _text("s_suppkey"), F.lit('"'))).otherwise("")
-    authors = t("supplier").select(
+    authors = spread("supplier", "s_suppkey", "s_name").select(
         F.concat(F.lit('{"id":"'), _url("A", "s_suppkey"), F.lit('","display_name":"'), "s_name", F.lit('"'), orcid, F.lit("}")).alias("value")
     )
-    venues = t("customer").select(
+    venues = spread("customer", "c_custkey", "c_nationkey").select(
         F.concat(
             F.lit('{"id":"'), _url("S", "c_custkey"), F.lit('","issn_l":"L'), _text("c_custkey"), F.lit('","issn":["L'), _text("c_custkey"),
             F.lit('","M'), _text("c_nationkey"), F.lit('"]}'),
@@ -130,6 +132,7 @@ def _empty_store(spark: SparkSession) -> store_sync.Store:
 def apply_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider's records and edges are written into an empty store, twice; sources that share an ISSN become one venue."""
     given = openalex.parse(openalex_lines(spark, sf_dir), NOW)
+    given = emission.Emission(cut_lineage(given.records), cut_lineage(given.edges), given.skipped)  # parsed once for both
     once = store_sync.apply_emission(_empty_store(spark), given).store
     store = store_sync.apply_emission(once, given).store
     kinds = store.live_nodes().groupBy(F.concat(F.lit("node "), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
