@@ -166,8 +166,9 @@ def _edge_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def put_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = graph.put_edges(_edge_inputs(spark, sf_dir), fx.aliases(spark, sf_dir))
-    labels = fx.aliases(spark, sf_dir).where("scheme = 'mpn'").withColumn("dst_state", F.lit("known")).unionByName(
+    known = cut_lineage(fx.aliases(spark, sf_dir))
+    written = graph.put_edges(_edge_inputs(spark, sf_dir), known)
+    labels = known.where("scheme = 'mpn'").withColumn("dst_state", F.lit("known")).unionByName(
         written.stub_aliases.withColumn("dst_state", F.lit("stub"))
     )
     per_target = written.claims.groupBy("dst_id").agg(
