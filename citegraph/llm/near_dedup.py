@@ -49,6 +49,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 #: Rows whose registers a worker holds at a time, and pairs whose shingles it holds.
 PIECE_ROWS, PIECE_PAIRS = 1024, 512
+#: Arrivals that are drawn at a time: about ten arrays of so many numbers are held.
+PIECE_ARRIVALS = 1 << 20
 #: All registers give one bit each to a sketch (eight longs: a longer comparison is no longer compiled); the first BANDS * ROWS make the band keys.
 REGISTERS = 512
 SKETCH = REGISTERS // 64
@@ -89,24 +91,26 @@ def prob_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     needed = 1.2 * REGISTERS * (np.log(REGISTERS) + 0.6)
     level = np.log2(np.maximum(np.bincount(owner, minlength=n), 1)).astype(int)
     for at in np.unique(level[owner]):
-        alive = np.flatnonzero(level[owner] == at)
-        draws = max(2, int(np.ceil(needed / 2**at)))
-        now, drawn = np.zeros(len(alive)), 0
-        while len(alive):
-            k = (np.arange(drawn + 1, drawn + draws + 1).astype(_U)) * _U(0x9E3779B97F4A7C15)
-            h = mix(element[alive][:, None] + k[None])
-            t = now[:, None] + np.cumsum(-np.log(_unit(h)) / weight[alive][:, None], axis=1)
-            cell = (owner[alive] * REGISTERS)[:, None] + (mix(h) & _U(REGISTERS - 1)).astype(np.int64)
-            better = t < time[cell]
-            c, v = cell[better], t[better]
-            e = np.broadcast_to(element[alive][:, None], t.shape)[better]
-            np.minimum.at(time, c, v)
-            first = time[c] == v
-            winner[c[first]] = e[first]
-            limit = time.reshape(n, REGISTERS).max(axis=1)
-            on = t[:, -1] < limit[owner[alive]]
-            alive, now, drawn = alive[on], t[on, -1], drawn + draws
-            draws = max(2, draws // 4)
+        like, most = np.flatnonzero(level[owner] == at), max(2, int(np.ceil(needed / 2**at)))
+        for piece in range(0, len(like), max(1, PIECE_ARRIVALS // most)):  # a piece may end within an owner: its registers hold the least so far
+            alive, draws = like[piece : piece + max(1, PIECE_ARRIVALS // most)], most
+            now, drawn = np.zeros(len(alive)), 0
+            while len(alive):
+                k = (np.arange(drawn + 1, drawn + draws + 1).astype(_U)) * _U(0x9E3779B97F4A7C15)
+                h = mix(element[alive][:, None] + k[None])
+                t = now[:, None] + np.cumsum(-np.log(_unit(h)) / weight[alive][:, None], axis=1)
+                cell = (owner[alive] * REGISTERS)[:, None] + (mix(h) & _U(REGISTERS - 1)).astype(np.int64)
+                better = t < time[cell]
+                c, v = cell[better], t[better]
+                e = np.broadcast_to(element[alive][:, None], t.shape)[better]
+                np.minimum.at(time, c, v)
+                first = time[c] == v
+                winner[c[first]] = e[first]
+                own, place = np.unique(owner[alive], return_inverse=True)
+                limit = time.reshape(n, REGISTERS)[own].max(axis=1)
+                on = t[:, -1] < limit[place]
+                alive, now, drawn = alive[on], t[on, -1], drawn + draws
+                draws = max(2, draws // 4)
     return winner.reshape(n, REGISTERS)
 
 
@@ -257,7 +261,18 @@ def _centres(bucket: DataFrame, n: int) -> DataFrame:
     Spark limits groups before the shuffle.
     """
     order = W.partitionBy("key").orderBy(F.desc("meets"), "doc")
-    return bucket.where("NOT done").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    first = bucket.where("NOT done").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return first.select("key", F.col("doc").alias("centre"), *[F.col(c).alias(f"centre_{c}") for c in ("cls", "sketch", "bands", "excess", "meets")])
+
+
+def _meetings(bucket: DataFrame, centres: DataFrame, most: float) -> DataFrame:
+    """Members of each bucket beside its centres of another class, where sketches and own shingles leave a similarity possible.
+
+    A member before a centre in their order is a centre too: two centres meet as the later of them meets the earlier, once.
+    """
+    after = (F.col("meets") < F.col("centre_meets")) | ((F.col("meets") == F.col("centre_meets")) & (F.col("doc") > F.col("centre")))
+    may = (F.col("excess") + F.col("centre_excess") <= most) & (_agreement("sketch", "centre_sketch") >= AGREEING)
+    return bucket.where("NOT done").join(centres, "key").where(after & (F.col("cls") != F.col("centre_cls")) & may)
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -305,15 +320,15 @@ def _row_verdicts(docs: DataFrame, row: Column, id_col: str, text: str, threshol
     most = 1 / threshold - 1 + 1e-9  # of the excess of both of a pair
     live, n = buckets.withColumn("cls", F.col("doc")).withColumn("excess", F.lit(0.0)), 1
     while True:
-        picked = cut_lineage(_centres(live, n).select("key", F.col("doc").alias("centre"), F.col("cls").alias("centre_cls"), F.col("sketch").alias("centre_sketch"), F.col("bands").alias("centre_bands"), F.col("excess").alias("centre_excess")))
+        picked = cut_lineage(_centres(live, n))
         if picked.isEmpty():
             break
-        near = live.where("NOT done").join(picked, "key").where((F.col("cls") != F.col("centre_cls")) & (F.col("excess") + F.col("centre_excess") <= most) & (_agreement("sketch", "centre_sketch") >= AGREEING))
+        near = _meetings(live, picked, most)
         if n > 1:
             # Most links are known by now. A pair that meets in several buckets is left to the one of the smallest key,
             # which goes on until it has compared all its pairs or holds one class.
             near = near.where(F.array_min(F.array_intersect("bands", "centre_bands")) == F.col("key"))
-        pairs = near.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).where("a <> b").distinct()
+        pairs = near.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_shingles")) for c in ("a", "b"))

@@ -189,3 +189,27 @@ def test_a_large_group_of_copies_changed_in_places_of_their_own(spark):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert 1 < len(set(root)) < 61
     assert got == dict(enumerate(root))
+
+
+def test_two_centres_of_a_bucket_meet_once(spark):
+    """Among centres a pair is one row, not one from either side; other members meet every centre."""
+    bits = [0] * nd.SKETCH
+    rows = [(7, k, k % 3, bits, [7], k, 0.0, False) for k in range(20)]
+    bucket = spark.createDataFrame(rows, "key long, doc long, meets long, sketch array<long>, bands array<long>, cls long, excess double, done boolean")
+    for n in (1, 5, 4096):
+        met = nd._meetings(bucket, nd._centres(bucket, n), 0.25).select("doc", "centre").collect()
+        order = sorted(range(20), key=lambda k: (-(k % 3), k))
+        assert len(met) == len({frozenset(m) for m in met})
+        assert {frozenset(m) for m in met} == {frozenset(p) for p in itertools.combinations(order, 2) if p[0] in order[:n]}
+
+
+def test_arrivals_are_drawn_in_bounded_pieces(monkeypatch):
+    """Registers do not depend on the size of a piece, and no array of arrivals is larger than one."""
+    rng = np.random.default_rng(5)
+    own = np.repeat(np.arange(60), rng.integers(20, 60, 60))
+    element, weight = rng.integers(1, 1 << 63, len(own), dtype=np.uint64), np.ones(len(own))
+    whole = nd.prob_minhash(own, element, weight, 60)
+    monkeypatch.setattr(nd, "PIECE_ARRIVALS", 5_000)
+    largest, mix = [], nd.mix
+    monkeypatch.setattr(nd, "mix", lambda x: (largest.append(x.size), mix(x))[1])
+    assert (nd.prob_minhash(own, element, weight, 60) == whole).all() and max(largest) <= 5_000
