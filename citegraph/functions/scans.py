@@ -20,16 +20,18 @@ def _block(position: str, block: int) -> Column:
     return F.floor(F.col(position) / F.lit(block)).cast("long")
 
 
-def running_sum(df: DataFrame, key: str, position: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Add `name`: the sum of `value` over this and all earlier positions of `key`."""
+def running_sum(df: DataFrame, key: str, position: str, value: Column, name: str, block: int = BLOCK, total: str | None = None) -> DataFrame:
+    """Add `name`: the sum of `value` over this and all earlier positions of `key`; and `total`, if named, its sum over the key."""
     inside = W.partitionBy(key, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = df.withColumn("_block", _block(position, block)).withColumn("_value", value.cast("long"))
     totals = blocks.groupBy(key, "_block").agg(F.sum("_value").alias("_total"))
-    carried = totals.withColumn("_carry", F.sum("_total").over(before)).drop("_total")
+    carried = totals.withColumn("_carry", F.sum("_total").over(before))
+    if total is not None:
+        carried = carried.withColumn(total, F.sum("_total").over(W.partitionBy(key)))
     return (
         blocks.withColumn("_sum", F.sum("_value").over(inside))
-        .join(carried, [key, "_block"], "left")
+        .join(carried.drop("_total"), [key, "_block"], "left")
         .withColumn(name, F.coalesce("_sum", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
         .drop("_block", "_value", "_sum", "_carry")
     )

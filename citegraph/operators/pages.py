@@ -183,34 +183,32 @@ def chunk_pages(pages: DataFrame, max_tokens: int = 512, overlap: int = 64) -> D
 
     Tokens are white-space separated words. A page's tokens are numbered on from the pages
     before it (a running sum of counts) and cut into the windows they fall in, so one row per
-    page and window is shuffled, not one per token. A window the previous one covers is not made.
+    page and window is shuffled, not one per token. Words go through a shuffle as one text, which as an
+    array take several times its bytes. A window the previous one covers is not made.
     """
     if not 0 <= overlap < max_tokens:
         raise ValueError("overlap must be smaller than max_tokens")
     stride = max_tokens - overlap
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    tokens = pages.select("doc", "page_index", words.alias("words")).withColumn("n", F.size("words"))
-    placed = running_sum(tokens, "doc", "page_index", F.col("n"), "until").where("n > 0")
-    totals = tokens.groupBy("doc").agg(F.sum("n").alias("total"))
+    tokens = pages.select("doc", "page_index", words.alias("words"))
+    tokens = tokens.select("doc", "page_index", F.array_join("words", " ").alias("body"), F.size("words").alias("n"))
+    placed = running_sum(tokens, "doc", "page_index", F.col("n"), "until", total="total").where("n > 0")
     start, end = F.col("until") - F.col("n"), F.col("until")
     first = F.greatest(F.lit(0), F.ceil((start - max_tokens + 1) / stride))
     last = F.floor((end - 1) / stride)
-    sliced = placed.select("doc", "page_index", "words", start.alias("start"), end.alias("end"),
-                           F.explode(F.sequence(first, last)).alias("seq"))
+    split = placed.select("doc", "page_index", F.split("body", " ").alias("words"), start.alias("start"), end.alias("end"),
+                          "total", F.sequence(first, last).alias("seqs"))
+    sliced = split.select("doc", "page_index", "words", "start", "end", "total", F.explode("seqs").alias("seq"))
     lo = F.greatest(F.col("start"), F.col("seq") * stride)
     hi = F.least(F.col("end"), F.col("seq") * stride + max_tokens)
-    piece = F.slice("words", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
-    pieces = sliced.where(hi > lo).select("doc", "seq", "page_index", piece.alias("piece"))
+    piece = F.array_join(F.slice("words", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")), " ")
+    wanted = (F.col("seq") == 0) | ((F.col("seq") - 1) * stride + max_tokens < F.col("total"))
+    pieces = sliced.where(wanted & (hi > lo)).select("doc", "seq", "page_index", piece.alias("piece"), (hi - lo).alias("n"))
     # At most max_tokens words reach one group.
     ordered = F.array_sort(F.collect_list(F.struct("page_index", "piece")))
-    chunks = pieces.groupBy("doc", "seq").agg(
-        ordered.alias("parts"), F.min("page_index").alias("page_start"), F.max("page_index").alias("page_end"),
-        F.sum(F.size("piece")).cast("int").alias("token_count"),
-    )
-    wanted = (F.col("seq") == 0) | ((F.col("seq") - 1) * stride + max_tokens < F.col("total"))
-    return chunks.join(totals, "doc").where(wanted).select(
-        "doc", "seq", F.array_join(F.flatten(F.transform("parts", lambda p: p["piece"])), " ").alias("text"),
-        "page_start", "page_end", "token_count",
+    return pieces.groupBy("doc", "seq").agg(
+        F.array_join(F.transform(ordered, lambda p: p["piece"]), " ").alias("text"),
+        F.min("page_index").alias("page_start"), F.max("page_index").alias("page_end"), F.sum("n").cast("int").alias("token_count"),
     )
 
 

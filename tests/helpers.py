@@ -13,6 +13,15 @@ def rows(df, *columns):
 
 def rows_read(spark, action):
     """How many rows the stages of `action` read from files."""
+    return _summed(spark, action, lambda stage: stage.inputRecords())
+
+
+def bytes_shuffled(spark, action):
+    """How many bytes the stages of `action` wrote for a shuffle, compressed."""
+    return _summed(spark, action, lambda stage: stage.shuffleWriteBytes())
+
+
+def _summed(spark, action, value):
     sc, group = spark.sparkContext, uuid.uuid4().hex
     sc.setJobGroup(group, group)
     try:
@@ -25,7 +34,7 @@ def rows_read(spark, action):
 
     def of(stage):
         try:
-            return store.lastStageAttempt(stage).inputRecords()
+            return value(store.lastStageAttempt(stage))
         except Py4JJavaError:  # a stage that was skipped has no attempt
             return 0
 

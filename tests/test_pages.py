@@ -1,9 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from citegraph.functions import folios, page_text
 from citegraph.operators import pages
-from tests.helpers import rows
+from tests.helpers import bytes_shuffled, rows
 
 
 def page_table(spark, *texts, doc="d"):
@@ -153,3 +156,19 @@ def test_quotes_that_all_begin_alike_meet_few_pages(spark):
     assert {(r["request_id"], r["status"]) for r in got if r["request_id"] > 901 and r["status"] != "found"} == {(902, "empty_quote"), (903, "quote_not_found")}
     distinct = spark.createDataFrame([("d", n) for n in needles], "doc string, needle string")
     assert pages.quote_candidates(distinct, page_table).count() <= 12 * 150
+
+
+def test_chunks_shuffle_little_more_than_the_text_twice(spark, tmp_path):
+    """Once to number the words and once into windows; arrays of words, and whole windows a third time, took more than three times as much."""
+    rng = random.Random(2)
+    texts = [" \u2003".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5)) for _ in range(900)) for _ in range(120)]
+    frame = spark.createDataFrame([(f"d{k % 40}", k // 40 + 1, t) for k, t in enumerate(texts)] + [("d0", 4, None), ("d0", 5, " ")], "doc string, page_index int, text string")
+    frame.write.parquet(f"{tmp_path}/pages")
+    made = []
+    shuffled = bytes_shuffled(spark, lambda: made.extend(pages.chunk_pages(spark.read.parquet(f"{tmp_path}/pages"), 64, 8).collect()))
+    for doc in ("d0", "d39"):
+        words = [(w, k // 40 + 1) for k, t in enumerate(texts) if f"d{k % 40}" == doc for w in re.split(r"\s+", t)]
+        windows = [words[at : at + 64] for at in range(0, len(words), 56) if at == 0 or at + 8 < len(words)]
+        want = [(k, " ".join(w for w, _ in x), x[0][1], x[-1][1], len(x)) for k, x in enumerate(windows)]
+        assert sorted(tuple(r)[1:] for r in made if r["doc"] == doc) == want
+    assert shuffled < 2.5 * sum(6 * len(t.split()) for t in texts)
