@@ -214,8 +214,8 @@ MOVED_EDGE_SQL = """moved AS (
     with_views("edge_assertion", "SELECT DISTINCT src_id, dst_id, relation FROM moved", extra=MERGED_SQL + "," + MOVED_EDGE_SQL),
 )
 def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.distinct_edges(fx.edge_in(spark, sf_dir))
-    return identity.merge_edges(edges, _part_redirects(spark, sf_dir))
+    # Folded once, after the merge: a fold before it holds as many edges again in the same task.
+    return identity.merge_edges(fx.edge_in(spark, sf_dir).select(*graph.EDGE_KEY), _part_redirects(spark, sf_dir))
 
 
 @REG.query(
