@@ -37,3 +37,14 @@ def text_lines(text: Column) -> Column:
         F.split(text, "\r?\n"),
         lambda l: F.when(F.element_at(l, -1) == "", F.slice(l, F.lit(1), F.size(l) - 1)).otherwise(l),
     )
+
+
+def char_runs(text: Column | str, size: int) -> Column:
+    """The different runs of `size` characters of a text; none of a shorter text.
+
+    One pass over the text that looks ahead at each character. Cutting each run by its place would count characters from the start for
+    every run, which takes the square of the text's length.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * size + "))."), 1))
+    return F.coalesce(runs, F.array().cast("array<string>"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegraph.functions import page_text
+from citegraph.functions.columns import char_runs
 from citegraph.functions.folios import candidates, folio_kind, render_folio
 from citegraph.functions.intervals import overlap_join
 from citegraph.functions.ranking import order_rows
@@ -282,20 +283,13 @@ def locate_sections(requests: DataFrame, sections: DataFrame, page_counts: DataF
 QUOTE_GRAM = 3
 
 
-def _runs(text: str) -> Column:
-    """The different runs of `QUOTE_GRAM` characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (QUOTE_GRAM - 1))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(QUOTE_GRAM))))
-    return F.when(F.length(text) >= QUOTE_GRAM, runs).otherwise(F.array().cast("array<string>"))
-
-
 def quote_candidates(needles: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc, needle, page_index): pages that hold the run of three characters of a needle (doc, needle) that is on the fewest pages.
 
     Runs are counted on the pages first, those of the needles alone; a needle with a run that is on no page has no candidate.
     """
-    wanted = cut_lineage(needles.select("doc", "needle", F.explode(_runs("needle")).alias("_run")))
-    on_pages = lambda runs: pages.select("doc", "page_index", F.explode(_runs("text")).alias("_run")).join(
+    wanted = cut_lineage(needles.select("doc", "needle", F.explode(char_runs("needle", QUOTE_GRAM)).alias("_run")))
+    on_pages = lambda runs: pages.select("doc", "page_index", F.explode(char_runs("text", QUOTE_GRAM)).alias("_run")).join(
         runs.select("doc", "_run").distinct(), ["doc", "_run"], "left_semi"
     )
     counts = on_pages(wanted).groupBy("doc", "_run").agg(F.count(F.lit(1)).alias("n"))

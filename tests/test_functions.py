@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from citegraph.functions import intervals, ranking, scans
+from citegraph.functions.columns import char_runs
 from citegraph.session import broadcast_if_small, measure
 from tests.helpers import rows
 
@@ -91,3 +93,17 @@ def test_broadcast_needs_a_small_measure(spark):
     assert n == 2 and size >= 4
     hinted = lambda s: "ResolvedHint" in broadcast_if_small(df, s)._jdf.queryExecution().analyzed().toString()
     assert hinted(size) and not hinted(10**12)
+
+
+def test_char_runs(spark):
+    texts = ["", "ab", "abc", "a\n😀b\n😀b", "😀😀b", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", char_runs("t", 3).alias("r")).collect()
+    want = lambda t: list(dict.fromkeys(t[k : k + 3] for k in range(len(t) - 2)))
+    assert {r["i"]: r["r"] for r in got} == {i: want(t or "") for i, t in enumerate(texts)}
+
+
+def test_char_runs_take_no_square_of_the_text(spark):
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: i.cast("string")), " ").alias("t"))
+    began = time.time()
+    assert long.select(F.size(char_runs("t", 3))).first()[0] == 1288
+    assert time.time() - began < 20
