@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from citegraph.functions.columns import char_runs
 from citegraph.functions.ranking import smallest_rows
 from citegraph.operators.catalog import search_fields
 from citegraph.session import cut_lineage
@@ -28,9 +29,7 @@ LAYOUTS = (
 
 def grams_of(text: str) -> Column:
     """The different trigrams of a text column; none of a shorter text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
-    runs = F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(GRAM)))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return char_runs(text, GRAM)
 
 
 class TextIndex:
@@ -41,7 +40,8 @@ class TextIndex:
 
     def add(self, assertions: DataFrame) -> None:
         """Index claims (canonical_id, source, attrs, fetched_at); equal texts of a node are one."""
-        fields = cut_lineage(search_fields(assertions))
+        # Claims are dealt out before they are parsed: a small file is one task, however many claims it holds.
+        fields = cut_lineage(search_fields(assertions.repartition("canonical_id")))
         titles = fields.select("canonical_id", F.lit("title").alias("field"), F.explode(F.array("title", "display_name")).alias("text"))
         authors = fields.select("canonical_id", F.lit("author").alias("field"), F.explode("author_names").alias("text"))
         texts = titles.unionByName(authors).where(F.col("text").isNotNull()).withColumn("text", F.lower("text")).distinct()

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citegraph.operators import catalog
+from citegraph.operators import catalog, text_index
 from citegraph.operators.text_index import TextIndex
 from tests.helpers import rows
 
@@ -56,3 +56,15 @@ def test_a_query_parses_no_claim_and_reads_the_rarest_trigram(index):
     assert index.rarest("title", "zzz") == ("zzz", 0) and index.rarest("title", "ab") is None
     held = index.candidates("title", "the tiling").where(F.contains("text", F.lit("tiling"))).count()
     assert index.candidates("title", "the tiling").count() <= held + n
+
+
+def test_claims_of_one_file_are_parsed_by_many_tasks(spark, claims, tmp_path, monkeypatch):
+    seen, fields = [], text_index.search_fields
+    monkeypatch.setattr(text_index, "search_fields", lambda rows: (seen.append(rows), fields(rows))[1])
+    made = TextIndex(spark, str(tmp_path))
+    made.add(spark.createDataFrame(claims, CLAIM).coalesce(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert seen[0].rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
