@@ -34,10 +34,16 @@ def spread_mass(leaving: Callable[[DataFrame, int], DataFrame], seeds: DataFrame
     """(canonical_id, mass) after the rounds. Edges between the same two nodes count once; a node may lead to itself."""
     near, far = _ends(direction)
     state = cut_lineage(seeds.select("canonical_id").distinct().withColumn("mass", F.lit(UNIT).cast("long")))
+    walked, steps, degree = None, None, None
     for _ in range(rounds):
-        size = measure(state, "canonical_id")[1]
-        steps = cut_lineage(leaving(state.select("canonical_id"), size).select(F.col(near).alias("canonical_id"), F.col(far).alias("to")).distinct())
-        degree = steps.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n"))
+        # A node that was reached stays a row of the state, so only new ones have their edges read.
+        fresh = state.select("canonical_id")
+        fresh = fresh if walked is None else cut_lineage(fresh.join(walked.select("canonical_id"), "canonical_id", "left_anti"))
+        size = measure(fresh, "canonical_id")[1]
+        more = cut_lineage(leaving(fresh, size).select(F.col(near).alias("canonical_id"), F.col(far).alias("to")).distinct())
+        ends = cut_lineage(more.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n")))
+        steps, degree = (more, ends) if walked is None else (steps.unionByName(more), degree.unionByName(ends))
+        walked = state
         part = F.expr(f"(mass div 100 * {SPREAD} + mass % 100 * {SPREAD} div 100) div n")
         rated = cut_lineage(state.join(degree, "canonical_id", "left").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))))
         kept = rated.select("canonical_id", (F.col("mass") - F.coalesce("n", F.lit(0)) * F.col("part")).alias("mass"))

@@ -146,3 +146,17 @@ def test_mass_spreads_without_loss_through_a_hub(spark):
     assert got == want and sum(got.values()) == 4 * expand.UNIT
     best = [tuple(r) for r in expand.proposals(expand.steps_of(edges), seeds(spark, *start), 9).collect()]
     assert best == sorted(((i, m) for i, m in want.items() if i not in start and m), key=lambda r: (-r[1], r[0]))[:9]
+
+
+def test_edges_of_a_node_are_read_once(spark):
+    """Nodes with mass stay in the state; only those that a round reached first have their edges read."""
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("c", "a", "r"), ("c", "d", "r"), ("d", "d", "r")], "src_id string, dst_id string, relation string")
+    asked, leaving = [], expand.steps_of(edges)
+
+    def noted(frontier, size):
+        asked.append(sorted(r[0] for r in frontier.collect()))
+        return leaving(frontier, size)
+
+    got = dict(rows(expand.spread_mass(noted, seeds(spark, "a"), rounds=4)))
+    assert asked == [["a"], ["b"], ["c"], ["d"]]
+    assert sum(got.values()) == expand.UNIT and set(got) == set("abcd")
